@@ -16,8 +16,17 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = C.documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", C.held_out(5))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    model = quality.train(docs.where(~F.col("held_out")), labels.where(~C.held_out(5)))
+    return quality.score(docs, model)
+
+
 def queries() -> dict:
-    return {"op3_language_id": op3_language_id}
+    return {"op3_language_id": op3_language_id, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
