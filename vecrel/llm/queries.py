@@ -16,6 +16,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model)
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm
+
+    return lm.train_and_score(C.documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", C.held_out(10)))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -26,7 +32,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_language_id": op3_language_id, "op9_quality": op9_quality}
+    return {"op3_language_id": op3_language_id, "op8_lm_score": op8_lm_score, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
