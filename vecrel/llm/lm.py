@@ -33,8 +33,8 @@ from . import common as C
 
 WORDS, CLASSES, CONTEXT, SIZE = 192, 64, 3, 24
 TABLE_WORDS = 500_000
-SAMPLE_DOCS, SAMPLE_BYTES = 2000, 1 << 16
-NOISE, BATCH, EPOCHS, RATE = 64, 512, 3, 0.05
+SAMPLE_DOCS, SAMPLE_BYTES = 1500, 1 << 16
+NOISE, BATCH, EPOCHS, RATE = 64, 1024, 2, 0.05
 END = np.uint64(0x5DEECE66D1234567)
 #: The suffix code of the end token; no word has it, for words hold no spaces.
 END_SUFFIX = 0x2020

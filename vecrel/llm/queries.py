@@ -16,6 +16,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate
+
+    docs = C.documents(spark, sf_dir).select("doc_id", "text")
+    return decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("row")
+
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lm
 
@@ -32,7 +39,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_language_id": op3_language_id, "op8_lm_score": op8_lm_score, "op9_quality": op9_quality}
+    return {"op3_language_id": op3_language_id, "op6_decontamination": op6_decontamination, "op8_lm_score": op8_lm_score, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
