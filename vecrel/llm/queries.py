@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,9 +40,21 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model)
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sharding
+
+    docs = C.documents(spark, sf_dir)
+    store = sharding.ShardStore(spark, f"{C.shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    sharding.load(store, docs)
+    rows = store.read()
+    return (docs.limit(0) if rows is None else rows).select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+
+
 def queries() -> dict:
-    return {"op3_language_id": op3_language_id, "op6_decontamination": op6_decontamination, "op8_lm_score": op8_lm_score, "op9_quality": op9_quality}
+    return {"op3_language_id": op3_language_id, "op6_decontamination": op6_decontamination, "op8_lm_score": op8_lm_score, "op9_quality": op9_quality, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op10_sharding": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents",
+    }
