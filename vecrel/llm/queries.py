@@ -18,6 +18,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model)
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import bitslice
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return bitslice.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate
 
@@ -51,10 +58,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_language_id": op3_language_id, "op6_decontamination": op6_decontamination, "op8_lm_score": op8_lm_score, "op9_quality": op9_quality, "op10_sharding": op10_sharding}
+    return {"op3_language_id": op3_language_id, "op4_exact_topk": op4_exact_topk, "op6_decontamination": op6_decontamination, "op8_lm_score": op8_lm_score, "op9_quality": op9_quality, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_exact_topk": """
+            WITH v AS (
+                SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+                WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            ), s AS (
+                SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score
+                FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0
+            ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+            SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
         "op10_sharding": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents",
     }
