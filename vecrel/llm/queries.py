@@ -25,6 +25,12 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import minhash
+
+    return minhash.find(C.documents(spark, sf_dir).select("doc_id", "text")).drop("row")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate
 
@@ -58,7 +64,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_language_id": op3_language_id, "op4_exact_topk": op4_exact_topk, "op6_decontamination": op6_decontamination, "op8_lm_score": op8_lm_score, "op9_quality": op9_quality, "op10_sharding": op10_sharding}
+    return {"op3_language_id": op3_language_id, "op4_exact_topk": op4_exact_topk, "op5_near_duplicates": op5_near_duplicates, "op6_decontamination": op6_decontamination, "op8_lm_score": op8_lm_score, "op9_quality": op9_quality, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
