@@ -38,6 +38,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("row")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffixes
+
+    return suffixes.report(C.documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lm
 
@@ -64,7 +70,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_language_id": op3_language_id, "op4_exact_topk": op4_exact_topk, "op5_near_duplicates": op5_near_duplicates, "op6_decontamination": op6_decontamination, "op8_lm_score": op8_lm_score, "op9_quality": op9_quality, "op10_sharding": op10_sharding}
+    return {"op3_language_id": op3_language_id, "op4_exact_topk": op4_exact_topk, "op5_near_duplicates": op5_near_duplicates, "op6_decontamination": op6_decontamination, "op7_suffix_dedup": op7_suffix_dedup, "op8_lm_score": op8_lm_score, "op9_quality": op9_quality, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
