@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from . import common as C
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pieces
+
+    return pieces.digest(C.documents(spark, sf_dir))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -70,7 +76,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_language_id": op3_language_id, "op4_exact_topk": op4_exact_topk, "op5_near_duplicates": op5_near_duplicates, "op6_decontamination": op6_decontamination, "op7_suffix_dedup": op7_suffix_dedup, "op8_lm_score": op8_lm_score, "op9_quality": op9_quality, "op10_sharding": op10_sharding}
+    return {"op2_sentencepiece": op2_sentencepiece, "op3_language_id": op3_language_id, "op4_exact_topk": op4_exact_topk, "op5_near_duplicates": op5_near_duplicates, "op6_decontamination": op6_decontamination, "op7_suffix_dedup": op7_suffix_dedup, "op8_lm_score": op8_lm_score, "op9_quality": op9_quality, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
