@@ -144,6 +144,30 @@ def _totals(lengths: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _judge(text: pa.Array, letters: pa.Array, model: Model, score_of: _Scorer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, posterior and bits per byte of each text."""
+    data, offsets = C.text_bytes(text)
+    bits = np.zeros((len(text), max(1, len(model.langs))))
+    for lo, hi, part, off in C.groups(data, offsets):
+        if model.langs and len(part):
+            for a in range(0, len(part), C.CHUNK_BYTES):  # a very long text piece by piece
+                b = min(len(part), a + C.CHUNK_BYTES)
+                before = max(0, a - ORDER)
+                grams = grams_of(part[before:b], np.clip(off, before, b) - before)[a - before :]
+                bits[lo:hi] += _totals(score_of(grams), np.clip(off, a, b) - a)
+    n = np.diff(offsets)
+    known = np.asarray(letters.fill_null(False)) & (len(model.langs) > 0)
+    least = bits.min(axis=1)
+    rate = (bits - least[:, None]) / np.maximum(n, 1)[:, None] * np.minimum(n, EVIDENCE)[:, None]
+    score = 1 / np.exp2(-np.minimum(rate, 1000)).sum(axis=1)
+    langs = np.array([*model.langs, "und"], object)
+    return langs[np.where(known, bits.argmin(axis=1), len(model.langs))], np.where(known, score, 0.0), np.where(known, least / np.maximum(n, 1), 0.0)
+
+
+def _letters() -> F.Column:
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
 def predict(df: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, bits_per_byte) for every row of (doc_id, text, held_out)."""
     spark = df.sparkSession
@@ -151,36 +175,27 @@ def predict(df: DataFrame, model: Model) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        score_of = _Scorer(model)
-        langs = np.array([*model.langs, "und"], object)
+        score_of = _Scorer(shared.value)
         for batch in batches:
-            data, offsets = C.text_bytes(batch.column(1))
-            bits = np.zeros((batch.num_rows, max(1, len(model.langs))))
-            for lo, hi, part, off in C.groups(data, offsets):
-                if model.langs and len(part):
-                    for a in range(0, len(part), C.CHUNK_BYTES):  # a very long text piece by piece
-                        b = min(len(part), a + C.CHUNK_BYTES)
-                        from_ = max(0, a - ORDER)
-                        cut = np.clip(off, a, b)
-                        grams = grams_of(part[from_:b], np.concatenate([np.clip(off, from_, b) - from_]))[a - from_ :]
-                        bits[lo:hi] += _totals(score_of(grams), cut - a)
-            n = np.diff(offsets)
-            letters = np.asarray(batch.column(2).fill_null(False)) & (len(model.langs) > 0)
-            best = bits.argmin(axis=1)
-            least = bits.min(axis=1)
-            rate = (bits - least[:, None]) / np.maximum(n, 1)[:, None] * np.minimum(n, EVIDENCE)[:, None]
-            score = 1 / np.exp2(-np.minimum(rate, 1000)).sum(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(3),
-                    pa.array(langs[np.where(letters, best, len(model.langs))], pa.string()),
-                    pa.array(np.where(letters, score, 0.0)),
-                    pa.array(np.where(letters, least / np.maximum(n, 1), 0.0)),
-                ],
-                ["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"],
-            )
-
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), "held_out")
-    return rows.mapInArrow(run, SCHEMA)
+            lang, score, bits = _judge(batch.column(1), batch.column(2), shared.value, score_of)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(lang, pa.string()), pa.array(score), pa.array(bits)], ["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
+
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _letters().alias("letters"), "held_out").mapInArrow(run, SCHEMA)
+
+
+def recognised(docs: DataFrame, model: Model, least_score: float) -> DataFrame:
+    """The rows whose text has a language with a posterior of ``least_score`` or more, whole and with all columns."""
+    spark = docs.sparkSession
+    C.short_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+    at, n = docs.columns.index("text"), len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score_of = _Scorer(shared.value)
+        for batch in batches:
+            lang, score, _ = _judge(batch.column(at), batch.column(n), shared.value, score_of)
+            kept = batch.filter(pa.array((lang != "und") & (score >= least_score)))
+            yield pa.RecordBatch.from_arrays(kept.columns[:n], docs_names)
+
+    docs_names = docs.columns
+    return docs.select("*", _letters()).mapInArrow(run, docs.schema)
