@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from . import common as C
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    C.short_batches(spark)
+    return chat.recover(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pieces
 
@@ -76,7 +83,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_sentencepiece": op2_sentencepiece, "op3_language_id": op3_language_id, "op4_exact_topk": op4_exact_topk, "op5_near_duplicates": op5_near_duplicates, "op6_decontamination": op6_decontamination, "op7_suffix_dedup": op7_suffix_dedup, "op8_lm_score": op8_lm_score, "op9_quality": op9_quality, "op10_sharding": op10_sharding}
+    return {"op1_chat_format": op1_chat_format, "op2_sentencepiece": op2_sentencepiece, "op3_language_id": op3_language_id, "op4_exact_topk": op4_exact_topk, "op5_near_duplicates": op5_near_duplicates, "op6_decontamination": op6_decontamination, "op7_suffix_dedup": op7_suffix_dedup, "op8_lm_score": op8_lm_score, "op9_quality": op9_quality, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
