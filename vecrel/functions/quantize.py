@@ -81,15 +81,16 @@ def quantize(v: Column | str, params: Params = Params()) -> Column:
         for i, s in enumerate(params.grid())
     ]
     best = F.least(*tried) if len(tried) > 1 else tried[0]
-    return F.when(
-        v.isNotNull(),
-        F.struct(levels(v, best["scale"], params.levels).alias("levels"), best["scale"].alias("scale"), F.lit(params.bits).cast("tinyint").alias("bits"), F.size(v).alias("dimensions")),
+    # One element through a lambda, so that the search runs once and not for each coordinate.
+    found = F.transform(
+        F.array(best["scale"]),
+        lambda s: F.struct(levels(v, s, params.levels).alias("levels"), s.alias("scale"), F.lit(params.bits).cast("tinyint").alias("bits"), F.size(v).alias("dimensions")),
     )
+    return F.when(v.isNotNull(), found[0])
 
 
 def reconstructed(q: Column | str, params: Params) -> Column:
-    q = col(q)
-    return reconstruct(q["levels"], q["scale"], params.levels)
+    return F.transform(F.array(col(q)), lambda x: reconstruct(x["levels"], x["scale"], params.levels))[0]
 
 
 def quantized_distance(metric: str, a: Column | str, b: Column | str, params: Params) -> Column:

@@ -113,16 +113,23 @@ def _number(x: float) -> str:
     return np.format_float_positional(np.float32(x), unique=True, trim="-")
 
 
-@F.pandas_udf("string")
-def format_vector(vectors: pd.Series) -> pd.Series:
+def _mapped(one, kind: str):
+    """An Arrow function that maps the values that are not null."""
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else one(v))
+
+    return F.pandas_udf(run, kind)
+
+
+def format_vector(a: Column | str) -> Column:
     """[1,2.5,3.75]: no spaces, integers without a point."""
-    return vectors.map(lambda v: None if v is None else "[" + ",".join(map(_number, v)) + "]")
+    return _mapped(lambda v: "[" + ",".join(map(_number, v)) + "]", "string")(col(a))
 
 
-@F.pandas_udf("binary")
-def to_binary(vectors: pd.Series) -> pd.Series:
+def to_binary(a: Column | str) -> Column:
     """Dimensions and a zero as big-endian 32-bit integers, then big-endian floats."""
-    return vectors.map(lambda v: None if v is None else struct.pack(">II", len(v), 0) + np.asarray(v, ">f4").tobytes())
+    return _mapped(lambda v: struct.pack(">II", len(v), 0) + np.asarray(v, ">f4").tobytes(), "binary")(col(a))
 
 
 def _unpacked(data: bytes) -> np.ndarray:
@@ -135,9 +142,8 @@ def _unpacked(data: bytes) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("array<float>")
-def from_binary(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: None if b is None else _unpacked(bytes(b)))
+def from_binary(data: Column | str) -> Column:
+    return _mapped(lambda b: _unpacked(bytes(b)), "array<float>")(col(data))
 
 
 SQL = {
@@ -168,45 +174,31 @@ def register_sql(spark: SparkSession) -> None:
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION vector_parse(s STRING) RETURNS ARRAY<FLOAT> RETURN from_json(trim(s), 'array<float>')")
 
 
-def pack_levels(bits: int):
-    """An Arrow function that packs integer levels: 2 bits lowest first, 4 bits high half first, other widths a byte each."""
+def pack_levels(a: Column | str, bits: int) -> Column:
+    """Packed integer levels: 2 bits lowest first, 4 bits high half first, other widths a byte each."""
 
-    @F.pandas_udf("binary")
-    def run(levels: pd.Series) -> pd.Series:
-        def one(v) -> bytes | None:
-            if v is None:
-                return None
-            q = np.asarray(v, np.uint8)
-            if bits == 2:
-                q = np.pad(q, (0, -len(q) % 4)).reshape(-1, 4)
-                q = q[:, 0] | q[:, 1] << 2 | q[:, 2] << 4 | q[:, 3] << 6
-            elif bits == 4:
-                q = np.pad(q, (0, -len(q) % 2)).reshape(-1, 2)
-                q = q[:, 0] << 4 | q[:, 1]
-            return q.astype(np.uint8).tobytes()
+    def one(v) -> bytes:
+        q = np.asarray(v, np.uint8)
+        if bits == 2:
+            q = np.pad(q, (0, -len(q) % 4)).reshape(-1, 4)
+            q = q[:, 0] | q[:, 1] << 2 | q[:, 2] << 4 | q[:, 3] << 6
+        elif bits == 4:
+            q = np.pad(q, (0, -len(q) % 2)).reshape(-1, 2)
+            q = q[:, 0] << 4 | q[:, 1]
+        return q.astype(np.uint8).tobytes()
 
-        return levels.map(one)
+    return _mapped(one, "binary")(col(a))
 
-    return run
 
-
-def unpack_levels(bits: int, dims: int):
+def unpack_levels(data: Column | str, bits: int, dims: int) -> Column:
     """The inverse of ``pack_levels`` for vectors of ``dims`` levels."""
 
-    @F.pandas_udf("array<int>")
-    def run(data: pd.Series) -> pd.Series:
-        def one(b) -> np.ndarray | None:
-            if b is None:
-                return None
-            q = np.frombuffer(bytes(b), np.uint8)
-            if bits == 2:
-                q = np.stack([q & 3, q >> 2 & 3, q >> 4 & 3, q >> 6], axis=1).ravel()
-            elif bits == 4:
-                q = np.stack([q >> 4, q & 15], axis=1).ravel()
-            return q[:dims].astype(np.int32)
-
-        return data.map(one)
-
-    return run
-
+    def one(b) -> np.ndarray:
+        q = np.frombuffer(bytes(b), np.uint8)
+        if bits == 2:
+            q = np.stack([q & 3, q >> 2 & 3, q >> 4 & 3, q >> 6], axis=1).ravel()
+        elif bits == 4:
+            q = np.stack([q >> 4, q & 15], axis=1).ravel()
+        return q[:dims].astype(np.int32)
 
+    return _mapped(one, "array<int>")(col(data))

@@ -147,7 +147,7 @@ def wal_recovery_stats(spark, sf):
     return stats.select((F.col("total") - 1).alias("total"), "applied", "failed", "corrupted")
 
 
-@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS at FROM events) WHERE at = 1")
+@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS nth FROM events) WHERE nth = 1")
 def wal_checkpoint_compaction(spark, sf):
     return vs.latest(table(spark, sf, "events").select("user_id", "event_id", "value"), "user_id", "event_id", F.lit(False)).select("user_id", "event_id", "value")
 
@@ -593,8 +593,8 @@ def quant_error(spark, sf):
 @query()
 def quant_pack_round_trip(spark, sf):
     q = emb(spark, sf).select("vec_id", *(qz.levels("embedding", 1.0, 2**b).alias(f"q{b}") for b in (2, 4, 8)))
-    packed = q.select("*", *(vf.pack_levels(b)(f"q{b}").alias(f"p{b}") for b in (2, 4, 8)))
-    return packed.select("vec_id", *(F.length(f"p{b}").alias(f"bytes_{b}") for b in (2, 4, 8)), *((vf.unpack_levels(b, 64)(f"p{b}") == F.col(f"q{b}")).alias(f"same_{b}") for b in (2, 4, 8)))
+    packed = q.select("*", *(vf.pack_levels(f"q{b}", b).alias(f"p{b}") for b in (2, 4, 8)))
+    return packed.select("vec_id", *(F.length(f"p{b}").alias(f"bytes_{b}") for b in (2, 4, 8)), *((vf.unpack_levels(f"p{b}", b, 64) == F.col(f"q{b}")).alias(f"same_{b}") for b in (2, 4, 8)))
 
 
 @query("SELECT i::INTEGER AS at, round(0.5 + 1.5 * i / 11.0, 6)::DOUBLE AS scale FROM range(12) t(i)")
@@ -660,16 +660,17 @@ def plan_expansion(spark, sf):
 
 @query(f"SELECT vec_id FROM embeddings e WHERE label = 1 ORDER BY {_l2('e.embedding', Q0)}, vec_id LIMIT 5")
 def dialect_distance_operator(spark, sf):
-    vf_sql = rewrite("SELECT vec_id FROM embeddings_for_dialect WHERE label = $1 ORDER BY embedding <-> $2, vec_id LIMIT 5", {"embedding"})
+    near = "[" + ", ".join(repr(float(x)) for x in asked(spark, sf)) + "]"
+    own = rewrite(f"SELECT vec_id FROM embeddings_for_dialect WHERE label = $1 ORDER BY embedding <-> '{near}', vec_id LIMIT 5", {"embedding"})
     vf.register_sql(spark)
     emb(spark, sf).createOrReplaceTempView("embeddings_for_dialect")
-    return spark.sql(vf_sql.sql, {"p1": 1, "p2": vf.literal(asked(spark, sf))})
+    return spark.sql(own.sql, {"p1": 1})
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def events_windowed(spark, sf):
     found = ev.windowed(table(spark, sf, "events"))
-    return found.select("start", "event_type", "n", F.round("total", 2).alias("total"))
+    return found.select(F.col("start").cast("timestamp").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 @query()

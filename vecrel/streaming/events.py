@@ -9,7 +9,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 def windowed(events: DataFrame, ts: str = "ts", key: str = "event_type", value: str = "value", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Count and sum of each key and window; rows later than ``late`` are left out once a window is final."""
-    grouped = events.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), key) if events.isStreaming else events.groupBy(F.window(ts, width).alias("w"), key)
+    events = events.withColumn(ts, F.col(ts).cast("timestamp"))  # watermarks need a time zone
+    rows = events.withWatermark(ts, late) if events.isStreaming else events
+    grouped = rows.groupBy(F.window(ts, width).alias("w"), key)
     return grouped.agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), key, "n", "total")
 
 
