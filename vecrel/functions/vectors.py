@@ -6,6 +6,7 @@ or top-k around them stays one Catalyst plan.  Vectors of different length raise
 
 from __future__ import annotations
 
+import re
 import struct
 
 import numpy as np
@@ -158,6 +159,12 @@ SQL = {
 }
 
 
+def inline_sql(name: str, a: str, b: str) -> str:
+    """The distance of two SQL expressions spelled out: SQL functions may not stand in ORDER BY."""
+    body = re.sub(r"\b[ab]\b", lambda m: f"({a})" if m.group() == "a" else f"({b})", SQL[name][1])
+    return f"IF(size({a}) = size({b}), {body}, CAST(raise_error('dimension mismatch') AS DOUBLE))"
+
+
 def register_sql(spark: SparkSession) -> None:
     """l2_distance, inner_product, negative_inner_product, cosine_distance, l2_norm, vector_dims, l2_normalize, vector_parse."""
     for name, (kind, body) in SQL.items():

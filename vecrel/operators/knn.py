@@ -32,7 +32,8 @@ def _query(query: list[float] | Column) -> Column:
 
 
 def top(df: DataFrame, distance: Column, k: int, id_col: str) -> DataFrame:
-    return df.withColumn("distance", distance).orderBy("distance", id_col).limit(_k(k))
+    k = _k(k)
+    return df.withColumn("distance", distance).orderBy("distance", id_col).limit(k)
 
 
 def knn(df: DataFrame, query: list[float] | Column, k: int, metric: str = "l2", id_col: str = "vec_id", vector: str = "embedding", where: Column | None = None) -> DataFrame:
