@@ -9,6 +9,7 @@ group.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -55,8 +56,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_or_empty(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+def stable(docs: DataFrame) -> DataFrame:
+    """``docs``, written first unless it is a plain scan.
+
+    Row numbers (monotonically_increasing_id) name the same row in every reading of a
+    scan, but not above a shuffle, where each reading may place rows anew.
+    """
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {re.match(r"[\s:+-]*(\w+)", line)[1] for line in plan.splitlines() if re.match(r"[\s:+-]*\w", line)}
+    return docs if nodes <= {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD"} else written(docs, "stable")
 
 
 def held_out(modulus: int) -> F.Column:

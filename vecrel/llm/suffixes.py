@@ -331,7 +331,7 @@ def _cut(docs: DataFrame, found: DataFrame, schema: str, names: list[str], keep:
 def report(docs: DataFrame, match: int = MATCH, seed: int = SEED) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of (doc_id, text)."""
     C.short_batches(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = C.stable(docs).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = spans(rows.select("row", "text"), match, seed)
     cut = _cut(rows.select("row", "text"), found, "row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256"], False)
     return rows.select("row", "doc_id").join(cut, "row").drop("row")
@@ -340,7 +340,7 @@ def report(docs: DataFrame, match: int = MATCH, seed: int = SEED) -> DataFrame:
 def remove(docs: DataFrame, match: int = MATCH, seed: int = SEED) -> DataFrame:
     """The documents with repeated bytes removed (a character cut in two goes whole) and n_chars, if there, anew; other columns as they were."""
     C.short_batches(docs.sparkSession)
-    rows = docs.withColumn("row_", F.monotonically_increasing_id())
+    rows = C.stable(docs).withColumn("row_", F.monotonically_increasing_id())
     texts = rows.select(F.col("row_").alias("row"), "text")
     cut = _cut(texts, spans(texts, match, seed), "row_ long, n_bytes long, n_removed long, n_spans long, kept string", ["row_", "n_bytes", "n_removed", "n_spans", "kept"], True)
     out = rows.join(cut.select("row_", "n_removed", "kept"), "row_")
