@@ -307,45 +307,59 @@ def spans(docs: DataFrame, match: int = MATCH, seed: int = SEED) -> DataFrame:
     return whole.unionByName(_merged(runs, match, seed))
 
 
-def _cut(docs: DataFrame, found: DataFrame, schema: str, names: list[str], keep: bool) -> DataFrame:
-    listed = found.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    joined = docs.join(listed, "row", "left").select("row", F.coalesce("text", F.lit("")).alias("text"), "spans")
+def _kept(text: bytes, own: list[dict] | None) -> tuple[bytes, int]:
+    """What is left of a text without its spans, and the number of maximal spans."""
+    joined = union([(x["start"], x["stop"]) for x in own or []])
+    edges = [0, *(e for s in joined for e in s), len(text)]
+    return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), len(joined)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = C.text_bytes(batch.column(1))
-            raw = data.tobytes()
-            rows = []
-            for i, own in enumerate(batch.column(2).to_pylist()):
-                text = raw[offsets[i] : offsets[i + 1]]
-                joined = union([(x["start"], x["stop"]) for x in own or []])
-                edges = [0, *(e for s in joined for e in s), len(text)]
-                kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                rows.append((len(text), len(text) - len(kept), len(joined), kept.decode(errors="ignore") if keep else hashlib.sha256(kept).hexdigest()))
-            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], names)
 
-    return joined.mapInArrow(run, schema)
+def _listed(found: DataFrame) -> DataFrame:
+    return found.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans_"))
 
 
 def report(docs: DataFrame, match: int = MATCH, seed: int = SEED) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of (doc_id, text)."""
     C.short_batches(docs.sparkSession)
     rows = C.stable(docs).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = spans(rows.select("row", "text"), match, seed)
-    cut = _cut(rows.select("row", "text"), found, "row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256"], False)
-    return rows.select("row", "doc_id").join(cut, "row").drop("row")
+    joined = rows.join(_listed(spans(rows.select("row", "text"), match, seed)), "row", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "spans_")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = C.text_bytes(batch.column(1))
+            raw, out = data.tobytes(), []
+            for i, own in enumerate(batch.column(2).to_pylist()):
+                text = raw[offsets[i] : offsets[i + 1]]
+                kept, n = _kept(text, own)
+                out.append((len(text), len(text) - len(kept), n, hashlib.sha256(kept).hexdigest()))
+            columns = list(zip(*out, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, match: int = MATCH, seed: int = SEED) -> DataFrame:
     """The documents with repeated bytes removed (a character cut in two goes whole) and n_chars, if there, anew; other columns as they were."""
     C.short_batches(docs.sparkSession)
-    rows = C.stable(docs).withColumn("row_", F.monotonically_increasing_id())
-    texts = rows.select(F.col("row_").alias("row"), "text")
-    cut = _cut(texts, spans(texts, match, seed), "row_ long, n_bytes long, n_removed long, n_spans long, kept string", ["row_", "n_bytes", "n_removed", "n_spans", "kept"], True)
-    out = rows.join(cut.select("row_", "n_removed", "kept"), "row_")
-    changed = F.col("n_removed") > 0
-    values = {"text": F.when(changed, F.col("kept")).otherwise(F.col("text"))}
-    if "n_chars" in docs.columns:
-        values["n_chars"] = F.when(changed, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.select(*(values[c].alias(c) if c in values else F.col(c) for c in docs.columns))
+    docs = C.stable(docs)
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), "text")
+    listed = _listed(spans(texts, match, seed)).withColumnRenamed("row", "row_")
+    joined = docs.withColumn("row_", F.monotonically_increasing_id()).join(listed, "row_", "left").select(*docs.columns, "spans_")
+    schema, names, at = docs.schema, docs.columns, docs.columns.index("text")
+    chars = names.index("n_chars") if "n_chars" in names else -1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(batch.columns[: len(names)])
+            texts, sizes = columns[at].to_pylist(), columns[chars].to_pylist() if chars >= 0 else []
+            for i, own in enumerate(batch.column(len(names)).to_pylist()):
+                if own:
+                    texts[i] = _kept(texts[i].encode(), own)[0].decode(errors="ignore")
+                    if chars >= 0:
+                        sizes[i] = len(texts[i])
+            columns[at] = pa.array(texts, columns[at].type)
+            if chars >= 0:
+                columns[chars] = pa.array(sizes, columns[chars].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return joined.mapInArrow(run, schema)
