@@ -141,10 +141,9 @@ def binary_words(v: Column | str, at: list[float]) -> Column:
     v = col(v)
     words = []
     for lo in range(0, len(at), 64):
-        word = F.lit(0).cast("long")
-        for j, t in enumerate(at[lo : lo + 64]):
-            word = word.bitwiseOR(F.when(v[lo + j].cast("double") >= float(t), F.lit(1 << j if j < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-        words.append(word)
+        own = F.array(*[F.lit(float(t)) for t in at[lo : lo + 64]])
+        bits = F.zip_with(F.slice(v, lo + 1, 64), own, lambda x, t: F.when(x.cast("double") >= t, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
+        words.append(F.aggregate(F.reverse(bits), F.lit(0).cast("long"), lambda s, b: F.shiftleft(s, 1).bitwiseOR(b)))
     return F.array(*words)
 
 
