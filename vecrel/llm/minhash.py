@@ -11,7 +11,7 @@ which a text's registers are filled; texts with an empty one go on to twice that
 
 Texts with equal multisets form one node.  Nodes that share a band (``ROWS`` registers)
 are candidates: at similarity 0.8 a pair is missed by all ``REGISTERS / ROWS`` bands with
-a probability of 3e-6.  Pairs from buckets of up to ``SMALL`` nodes are joined with their
+a probability of 5e-6.  Pairs from buckets of up to ``SMALL`` nodes are joined with their
 multisets.  Nodes of larger buckets form clusters, whose multisets are compared through
 an inverted index, each pair exactly; clusters beyond ``CLUSTER`` nodes are split into
 pairs of blocks.  A cluster returns a spanning forest of its links, so nothing
@@ -38,7 +38,7 @@ from .graph import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-REGISTERS, ROWS = 96, 4
+REGISTERS, ROWS = 240, 6
 SMALL, CLUSTER = 64, 4096
 _FULL = np.uint64(0xFFFFFFFF)
 
@@ -191,7 +191,7 @@ def find(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL, cl
     """(row, doc_id, class_id, n_links) for every document: its class, and the verified links kept at its node."""
     spark = docs.sparkSession
     C.short_batches(spark)
-    rows = _with_rows(docs)
+    rows = _with_rows(C.stable(docs))
     prints = C.written(signed(rows), "bag-signatures")
     nodes = C.written(prints.where("n > 0").groupBy("one", "two").agg(F.min("row").alias("node"), F.min("n").alias("n"), F.min_by("bands", "row").alias("bands")), "bag-nodes")
     spread = nodes.select("node", "n", F.explode("bands").alias("band"))
@@ -207,7 +207,7 @@ def find(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL, cl
     stars = large.join(large.groupBy("band").agg(F.min("node").alias("hub")), "band").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     clusters = C.written(components(stars), "bag-clusters")
     needed = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).union(clusters.select("node")).distinct()
-    sets = C.written(multisets(rows.join(needed, "row").select(F.col("row").alias("node"), "text")), "bag-sets")
+    sets = C.written(multisets(rows.hint("merge").join(needed, "row").select(F.col("row").alias("node"), "text")), "bag-sets")
     near = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     near = near.select("a", "b", (shared / (F.col("na") + F.col("nb") - shared)).alias("similarity")).where(F.col("similarity") >= similarity)
@@ -237,6 +237,7 @@ def _within(clusters: DataFrame, sets: DataFrame, similarity: float, limit: int)
 
 def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each class, that of least doc_id (then the first of its rows), whole and with all columns."""
+    docs = C.stable(docs)
     found = find(docs, similarity)
     kept = found.groupBy("class_id").agg(F.min(F.struct("doc_id", "row")).alias("x")).select(F.col("x.row").alias("row_"))
     return docs.withColumn("row_", F.monotonically_increasing_id()).join(kept, "row_", "left_semi").select(docs.columns)
