@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -47,7 +48,7 @@ from . import common as C
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-TABLE_WORDS, TABLE_CHARS = 50_000, 32
+TABLE_WORDS, TABLE_CHARS = 200_000, 32
 UNKNOWN = 10.0
 
 
@@ -64,11 +65,13 @@ class Pieces:
     merging: bool  # whether scores rank merges
     edges: dict[str, int] = field(default_factory=dict)  # pieces that can be in a split
     apart: dict[int, bool] = field(default_factory=dict)  # by pair: whether it stays a pair
+    ends: dict[str, int] = field(default_factory=dict)  # every ending of a piece, with its id where it is one
     unknown: float = 0.0
 
     def __post_init__(self) -> None:
         self.unknown = min((self.scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN
         self.edges = {t: i for t, i in self.ids.items() if len(t) == 1 or self.merge(t) == [t]} if self.merging else self.ids
+        self.ends = {t[k:]: -1 for t in self.edges for k in range(len(t))} | self.edges
 
     def merge(self, text: str) -> list[str]:
         """Merge the characters of a short text, the pair of best score first, then the leftmost."""
@@ -128,10 +131,43 @@ def load(path: str = MODEL) -> Pieces:
 def encode_word(pieces: Pieces, word: str) -> list[int]:
     """The lattice of one word, folded where it stands."""
     n = len(word)
+    back = _merging_path(pieces, word) if pieces.merging else _best_path(pieces, word)
+    out: list[int] = []
+    while n:
+        start, piece = back[n]
+        out += [piece] if piece >= 0 else [pieces.of_byte[b] for b in reversed(word[start:n].encode(errors="replace"))]
+        n = start
+    return out[::-1]
+
+
+def _merging_path(pieces: Pieces, word: str) -> list[tuple[int, int]]:
+    """The one edge into each place that its neighbour lets stand; edges grow leftward while they end some piece."""
+    get, apart, stays_of = pieces.ends.get, pieces.apart.get, pieces.stays
+    back, last = [(0, -1)], [-1]
+    for stop in range(1, len(word) + 1):
+        edge = (stop - 1, -1)  # a character without a piece, unless an edge stands
+        for start in range(stop - 1, -1, -1):
+            piece = get(word[start:stop])
+            if piece is None:
+                break
+            if piece >= 0:
+                before = last[start]
+                stays = True if before < 0 else apart(before << 20 | piece)
+                if stays or (stays is None and stays_of(before, piece)):
+                    edge = (start, piece)
+                    break
+        back.append(edge)
+        last.append(edge[1])
+    return back
+
+
+def _best_path(pieces: Pieces, word: str) -> list[tuple[int, int]]:
+    """The edge of the best sum of scores into each place."""
+    n = len(word)
     best, back = [0.0] + [-np.inf] * n, [(0, -1)] * (n + 1)
     ids, scores, unknown = pieces.edges, pieces.scores, pieces.unknown
     for start in range(n):
-        here, last = best[start], back[start][1]
+        here = best[start]
         for stop in range(start + 1, min(n, start + pieces.longest) + 1):
             piece = ids.get(word[start:stop], -1)
             if piece >= 0:
@@ -140,14 +176,9 @@ def encode_word(pieces: Pieces, word: str) -> list[int]:
                 score = here + unknown
             else:
                 continue
-            if score > best[stop] and pieces.stays(last, piece):
+            if score > best[stop]:
                 best[stop], back[stop] = score, (start, piece)
-    out: list[int] = []
-    while n:
-        start, piece = back[n]
-        out += [piece] if piece >= 0 else [pieces.of_byte[b] for b in reversed(word[start:n].encode(errors="replace"))]
-        n = start
-    return out[::-1]
+    return back
 
 
 def marked(text: str) -> str:
@@ -159,14 +190,14 @@ def count_words(docs: DataFrame, pieces: Pieces) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = pieces.words().findall
-        held: dict[str, int] = {}
+        held: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for word in find(marked(text)) if text else ():
-                    held[word] = held.get(word, 0) + 1
+                if text:
+                    held.update(find(marked(text)))
             if len(held) > 400_000:
                 yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
-                held = {}
+                held = Counter()
         yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
 
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -234,85 +265,121 @@ def _with_void(grouped: DataFrame, pieces: Pieces) -> DataFrame:
     return grouped.join(found, "word", "left").withColumn("void", F.coalesce("void", F.expr("cast(array() AS array<bigint>)")))
 
 
+class _Words(dict):
+    """Word to its place in a list of encoded words; a missing one is encoded and added.
+
+    Added words are forgotten between batches once there are ``MOST`` of them.
+    """
+
+    MOST = 300_000
+
+    def __init__(self, pieces: Pieces, words: list[str], flat: np.ndarray, sizes: np.ndarray):
+        super().__init__(zip(words, range(len(words))))
+        self.pieces, self.flat, self.sizes = pieces, flat, sizes
+        self.added: list[str] = []
+        self.coded: list[list[int]] = []
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self.sizes) + len(self.coded)
+        self.coded.append(encode_word(self.pieces, word))
+        self.added.append(word)
+        return at
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has."""
+        find, places, words = self.pieces.words().findall, [], []
+        for text in texts:
+            own = find(marked(text)) if text else ()
+            places.extend(map(self.__getitem__, own))
+            words.append(len(own))
+        places = np.array(places, np.int64)
+        size = np.concatenate([self.sizes, np.fromiter(map(len, self.coded), np.int64, len(self.coded))])
+        flat = np.concatenate([self.flat, np.array([i for own in self.coded for i in own], np.int32)])
+        first = np.cumsum(size) - size
+        own = size[places]
+        total = np.cumsum(own)
+        at = np.repeat(first[places] - total + own, own) + np.arange(own.sum())
+        ends = np.concatenate([[0], total])[np.cumsum(words)] if words else np.zeros(0, np.int64)
+        if len(self.added) > self.MOST:
+            for word in self.added:
+                del self[word]
+            self.added, self.coded = [], []
+        return flat[at], np.diff(ends, prepend=0)
+
+
+def _shared_words(docs: DataFrame, pieces: Pieces, table_words: int):
+    """Broadcast of the piece table and the encoded frequent words: at most ``table_words`` of them."""
+    words = C.written(frequent(C.written(count_words(docs, pieces), "piece-words"), table_words), "piece-frequent")
+    table = C.written(lattice(words, pieces), "piece-lattice").toPandas()
+    flat = np.concatenate([*table.ids, np.zeros(0, np.int32)]).astype(np.int32)
+    return docs.sparkSession.sparkContext.broadcast((pieces, table.word.tolist(), flat, np.array([len(x) for x in table.ids], np.int64)))
+
+
 def encode(docs: DataFrame, path: str = MODEL, table_words: int = TABLE_WORDS) -> DataFrame:
     """The columns of ``docs`` and ``ids``, the pieces of its text."""
-    spark = docs.sparkSession
-    C.short_batches(spark)
-    pieces = load(path)
-    words = C.written(frequent(C.written(count_words(docs, pieces), "piece-words"), table_words), "piece-frequent")
-    table = C.written(lattice(words, pieces), "piece-lattice").toPandas()  # at most table_words rows
-    shared = spark.sparkContext.broadcast((pieces, dict(zip(table.word, (np.asarray(x, np.int32) for x in table.ids), strict=True))))
+    C.short_batches(docs.sparkSession)
+    shared = _shared_words(docs, load(path), table_words)
     at, schema = len(docs.columns), docs.schema
     text_at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, known = shared.value
-        find = pieces.words().findall
-        rest: dict[str, np.ndarray] = {}
+        table = _Words(*shared.value)
         for batch in batches:
-            ids, sizes, null = [np.zeros(0, np.int32)], [], []
-            for text in batch.column(text_at).to_pylist():
-                n = 0
-                for word in find(marked(text)) if text else ():
-                    own = known.get(word)
-                    if own is None:
-                        own = rest.get(word)
-                        if own is None:
-                            own = np.asarray(encode_word(pieces, word), np.int32)
-                            if len(rest) < 200_000 and len(word) < 64:
-                                rest[word] = own
-                    ids.append(own)
-                    n += len(own)
-                sizes.append(n)
-                null.append(text is None)
-            lists = C.list_array(pa.array(np.concatenate(ids)), np.array(sizes, np.int64))
-            if any(null):
-                lists = pa.array([None if x else y for x, y in zip(null, lists.to_pylist(), strict=True)], pa.list_(pa.int32()))
+            texts = batch.column(text_at).to_pylist()
+            ids, counts = table.encode(texts)
+            lists = C.list_array(pa.array(ids), counts)
+            if None in texts:
+                lists = pa.array([None if x is None else y for x, y in zip(texts, lists.to_pylist(), strict=True)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], lists], [*batch.schema.names[:at], "ids"])
 
     return docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
-def decode_ids(pieces: Pieces, ids: list[int] | np.ndarray) -> str:
-    out = bytearray()
-    for i in ids:
-        if pieces.byte[i] >= 0:
-            out.append(pieces.byte[i])
-        else:
-            out += pieces.text[i].encode()
-    text = out.decode(errors="replace").replace(MARK, " ")
+def spellings(pieces: Pieces) -> list[bytes]:
+    return [bytes([b]) if b >= 0 else t.encode() for b, t in zip(pieces.byte, pieces.text, strict=True)]
+
+
+def decode_ids(spelled: list[bytes], ids: np.ndarray) -> str:
+    """The text that ids spell."""
+    text = b"".join([spelled[i] for i in ids.tolist()]).decode(errors="replace").replace(MARK, " ")
     return text[1:] if text.startswith(" ") else text
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     """``encoded`` with ``decoded``, the text that its ids spell."""
-    shared = encoded.sparkSession.sparkContext.broadcast(load(path))
+    shared = encoded.sparkSession.sparkContext.broadcast(spellings(load(path)))
     at, names = encoded.columns.index("ids"), [*encoded.columns, "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = shared.value
-        spelled = [bytes([b]) if b >= 0 else t.encode() for b, t in zip(pieces.byte, pieces.text, strict=True)]
         for batch in batches:
-            out = []
-            for ids in batch.column(at):
-                if not ids.is_valid:
-                    out.append(None)
-                    continue
-                text = b"".join([spelled[i] for i in ids.values.to_numpy(zero_copy_only=False)]).decode(errors="replace").replace(MARK, " ")
-                out.append(text[1:] if text.startswith(" ") else text)
+            out = [decode_ids(shared.value, x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names)
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
-def digest(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """(doc_id, n_pieces, ids_sha256, exact): the number of pieces, a digest of the ids, whether decoding gives the text back."""
-    coded = decode(encode(docs.select("doc_id", "text"), path), path)
+def digest(docs: DataFrame, path: str = MODEL, table_words: int = TABLE_WORDS) -> DataFrame:
+    """(doc_id, n_pieces, ids_sha256, exact): the number of pieces, a digest of the ids, whether decoding gives the text back.
+
+    Encodes, decodes and hashes in one Python stage, so a task holds one worker.
+    """
+    C.short_batches(docs.sparkSession)
+    shared = _shared_words(docs, load(path), table_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _Words(*shared.value)
+        spelled = spellings(table.pieces)
         for batch in batches:
-            hashes = [hashlib.sha256(x.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes()).hexdigest() if x.is_valid else None for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(hashes, pa.string()), batch.column(3)], ["doc_id", "n_pieces", "ids_sha256", "exact"])
-
-    rows = coded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids", F.when(F.col("ids").isNotNull(), F.size("ids")).alias("n_pieces"), F.col("text").eqNullSafe(F.col("decoded")).alias("exact"))
-    return rows.mapInArrow(run, "doc_id long, n_pieces int, ids_sha256 string, exact boolean")
+            texts = batch.column(1).to_pylist()
+            ids, counts = table.encode(texts)
+            ends = np.cumsum(counts)
+            own = [None if t is None else ids[e - n : e] for t, e, n in zip(texts, ends.tolist(), counts.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), pa.array([None if x is None else len(x) for x in own], pa.int32()), pa.array([None if x is None else hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in own], pa.string()),
+                    pa.array([x is None or decode_ids(spelled, x) == t for x, t in zip(own, texts, strict=True)]),
+                ],
+                ["doc_id", "n_pieces", "ids_sha256", "exact"],
+            )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_pieces int, ids_sha256 string, exact boolean")
