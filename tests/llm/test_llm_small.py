@@ -251,6 +251,18 @@ def test_language_model(spark):
     assert lm.train_and_score(nothing).count() == 0
 
 
+def test_language_model_learns_from_every_text(spark):
+    """Words that follow each other only in one late, long text of over 64 KB among 1,600 others are learnt in that order."""
+    rng = random.Random(12)
+    late = " ".join(["left", "right"] * 9000)
+    texts = [text(rng, 12) for _ in range(1600)] + [late, "left right " * 30, "right right " * 30]
+    df = docs_of(spark, texts).withColumn("held_out", F.col("doc_id") > 1600)
+    assert len(late) > 1 << 16
+    got = {r.doc_id: r for r in lm.train_and_score(df).collect()}
+    assert got[1601].score > got[1602].score + 30
+    assert got[1601].score > got[1601].base_score + 20
+
+
 def test_quality(spark):
     rng = random.Random(11)
     good, bad = [text(rng, 60) + "." for _ in range(120)], [text(rng, 60).upper() + "!!! $$$ ###" for _ in range(40)]

@@ -9,10 +9,11 @@ product over the distinct contexts of a batch.  Within a class a word has its sm
 share of the class's exact counts, unseen words together counting as one more word, so
 the whole is a normalised distribution.
 
-Bounds (documented parameters): the network is fitted to ``SAMPLE_DOCS`` training
-texts of least hash and at most ``SAMPLE_BYTES`` bytes, read whole; the table sent to
-all executors holds at most ``TABLE_WORDS`` of the most frequent words.  Words beyond
-the table take part exactly, through a join with the full counts.
+The network is fitted to all training texts: in each of ``EPOCHS`` rounds every partition
+makes a pass over its own texts from the same start, and the mean of the results, weighted
+by tokens, starts the next round.  Bound (documented parameter): the table sent to all
+executors holds at most ``TABLE_WORDS`` of the most frequent words.  Words beyond the table
+take part exactly, through a join with the full counts.
 
 Edge cases: a null text counts as empty and has the end token alone; with nothing to
 train on every token has probability 1 / (classes + words) times a whole share, and the
@@ -21,11 +22,13 @@ base score is 0.  Repeated rows are scored each on its own; extra columns are ig
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +36,8 @@ from . import common as C
 
 WORDS, CLASSES, CONTEXT, SIZE = 192, 64, 3, 24
 TABLE_WORDS = 500_000
-SAMPLE_DOCS, SAMPLE_BYTES = 1500, 1 << 16
+#: Units whose order is drawn at once; a partition holds so many at a time.
+SHUFFLED = 1 << 20
 NOISE, BATCH, EPOCHS, RATE = 64, 1024, 2, 0.05
 END = np.uint64(0x5DEECE66D1234567)
 #: The suffix code of the end token; no word has it, for words hold no spaces.
@@ -143,55 +147,119 @@ class Model:
         return out
 
 
-def fit_network(model: Model, texts: list[np.ndarray], seed: int = 11) -> None:
-    """Noise-contrastive estimation over the unit sequences, noise shared by a minibatch."""
+def shapes() -> dict[str, tuple[int, ...]]:
     outputs = WORDS + CLASSES
+    return {"vectors": (outputs, SIZE), "mixing": (CONTEXT, SIZE), "outputs": (outputs, SIZE), "bias": (outputs,)}
+
+
+def taken_apart(flat: np.ndarray) -> dict[str, np.ndarray]:
+    """The parts of the network that ``flat`` holds one after the other."""
+    cuts = np.cumsum([math.prod(x) for x in shapes().values()])[:-1]
+    return {k: x.reshape(shape) for (k, shape), x in zip(shapes().items(), np.split(flat, cuts), strict=True)}
+
+
+def begun(noise: np.ndarray, seed: int) -> np.ndarray:
+    """The network before any training and its sums of squared gradients, two rows."""
     rng = np.random.default_rng(seed)
-    units = np.concatenate(texts) if texts else np.zeros(0, np.int64)
-    noise = (np.bincount(units, minlength=outputs) + 0.1) / (len(units) + 0.1 * outputs)
-    log_noise = np.log(noise).astype(np.float32)
-    parts = {
-        "vectors": rng.normal(0, 0.1, (outputs, SIZE)).astype(np.float32),
-        "mixing": np.full((CONTEXT, SIZE), 1 / CONTEXT, np.float32),
-        "outputs": rng.normal(0, 0.1, (outputs, SIZE)).astype(np.float32),
-        "bias": log_noise.copy(),
-    }
-    sums = {k: np.full_like(v, 1e-6) for k, v in parts.items()}
-    first = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    contexts = model.contexts(units, first)
-
-    def scattered(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
-        hot = np.zeros((len(rows), outputs), np.float32)
-        hot[np.arange(len(rows)), rows] = 1
-        return hot.T @ values
+    drawn = {k: rng.normal(0, 0.1, shape) for k, shape in shapes().items()} | {"mixing": np.full(shapes()["mixing"], 1 / CONTEXT), "bias": np.log(noise)}
+    flat = np.concatenate([x.ravel() for x in drawn.values()])
+    return np.stack([flat, np.full_like(flat, 1e-6)]).astype(np.float32)
 
+
+def added(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` by the output or unit in ``rows``."""
+    rows = rows.astype(np.uint16)
+    n = np.bincount(rows, minlength=WORDS + CLASSES)
+    out = np.zeros((WORDS + CLASSES, values.shape[1]), np.float32)
+    own = np.flatnonzero(n)
+    out[own] = np.add.reduceat(values[np.argsort(rows, kind="stable")], (np.cumsum(n) - n)[own])
+    return out
+
+
+def descend(state: np.ndarray, contexts: np.ndarray, units: np.ndarray, noise: np.ndarray, rate: float, rng: np.random.Generator) -> None:
+    """A pass of noise-contrastive estimation over ``units`` in a drawn order, noise shared by a minibatch; ``state`` changes."""
+    outputs = WORDS + CLASSES
+    log_noise = (np.log(noise) + np.log(NOISE)).astype(np.float32)
+    parts, sums = taken_apart(state[0]), state[1]
+    order, steps = rng.permutation(len(units)), np.cumsum(noise)
+    for lo in range(0, len(order), BATCH):
+        at = order[lo : lo + BATCH]
+        target, before = units[at], contexts[at]
+        drawn = np.minimum(np.searchsorted(steps, rng.random(NOISE) * steps[-1], "right"), outputs - 1)
+        taken = [parts["vectors"][before[:, j]] for j in range(CONTEXT)]
+        hidden = sum(t * parts["mixing"][j] for j, t in enumerate(taken))
+        out_real, out_false = parts["outputs"][target], parts["outputs"][drawn]
+        real = np.einsum("ij,ij->i", hidden, out_real) + (parts["bias"] - log_noise)[target]
+        false = hidden @ out_false.T + (parts["bias"] - log_noise)[drawn]
+        share = np.float32(1 / len(at))
+        g_real = (1 / (1 + np.exp(-np.clip(real, -30, 30))) - 1) * share
+        g_false = share / (1 + np.exp(-np.clip(false, -30, 30)))
+        g_hidden = g_real[:, None] * out_real + g_false @ out_false
+        grads = {
+            "vectors": sum(added(before[:, j], g_hidden) * parts["mixing"][j] for j in range(CONTEXT)),
+            "mixing": np.stack([np.einsum("ij,ij->j", g_hidden, t) for t in taken]),
+            "outputs": added(np.concatenate([target, drawn]), np.concatenate([g_real[:, None] * hidden, g_false.T @ hidden])),
+            "bias": np.bincount(target, g_real, outputs) + np.bincount(drawn, g_false.sum(0), outputs),
+        }
+        g = np.concatenate([x.ravel() for x in grads.values()]).astype(np.float32)
+        sums += g * g
+        state[0] -= np.float32(rate) * g / np.sqrt(sums)
+
+
+def fit_network(model: Model, texts: DataFrame, noise: np.ndarray, seed: int = 11) -> None:
+    """Noise-contrastive estimation over all of ``texts``, in rounds of passes by partition that are averaged."""
+    spark = texts.sparkSession
+    short = Model(model.total, model.kinds, model.hashes, model.counts, model.unit, model.classes, model.mass, end=model.end)
+    shared = spark.sparkContext.broadcast(short)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            data, offsets = C.text_bytes(batch.column(0))
+            for _, _, part, off in C.groups(data, offsets):
+                h, s, first = tokens(part, off)
+                units = m.look_up(h, s)[2].astype(np.uint16).astype("<u2")
+                yield pa.RecordBatch.from_arrays([pa.array([units[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["units"])
+
+    sequences = C.written(texts.select("text").mapInArrow(coded, "units binary"), "lm-units")
+    state = begun(noise, seed)
     for epoch in range(EPOCHS):
-        order = rng.permutation(len(units))
-        for lo in range(0, len(order), BATCH):
-            at = order[lo : lo + BATCH]
-            target, before = units[at], contexts[at]
-            drawn = rng.choice(outputs, NOISE, p=noise)
-            taken = [parts["vectors"][before[:, j]] for j in range(CONTEXT)]
-            hidden = sum(t * parts["mixing"][j] for j, t in enumerate(taken))
-            real = (hidden * parts["outputs"][target]).sum(1) + parts["bias"][target] - np.log(NOISE) - log_noise[target]
-            false = hidden @ parts["outputs"][drawn].T + parts["bias"][drawn] - np.log(NOISE) - log_noise[drawn]
-            g_real = (1 / (1 + np.exp(-np.clip(real, -30, 30))) - 1) / len(at)
-            g_false = 1 / (1 + np.exp(-np.clip(false, -30, 30))) / len(at)
-            g_hidden = g_real[:, None] * parts["outputs"][target] + g_false @ parts["outputs"][drawn]
-            grads = {
-                "outputs": scattered(target, g_real[:, None] * hidden) + scattered(drawn, g_false.T @ hidden),
-                "bias": np.bincount(target, g_real, outputs) + np.bincount(drawn, g_false.sum(0), outputs),
-                "vectors": sum(scattered(before[:, j], g_hidden * parts["mixing"][j]) for j in range(CONTEXT)),
-                "mixing": np.stack([(g_hidden * t).sum(0) for t in taken]),
-            }
-            for k, g in grads.items():
-                sums[k] += g.astype(np.float32) ** 2
-                parts[k] -= (RATE / (1 + epoch) * g / np.sqrt(sums[k])).astype(np.float32)
+        start = spark.sparkContext.broadcast(state)
+
+        def passed(batches: Iterator[pa.RecordBatch], start=start, epoch=epoch) -> Iterator[pa.RecordBatch]:
+            m, own, seen = shared.value, start.value.copy(), 0
+            rng = np.random.default_rng([seed, epoch, TaskContext.get().partitionId()])
+            held: list[np.ndarray] = []
+            size = 0
+
+            def learn() -> int:
+                first = np.concatenate([[0], np.cumsum([len(x) for x in held])])
+                units = np.concatenate(held).astype(np.int64)
+                descend(own, m.contexts(units, first), units, noise, RATE / (1 + epoch), rng)
+                return len(units)
+
+            for batch in batches:
+                for text in batch.column(0):
+                    held.append(np.frombuffer(text.as_py(), "<u2"))
+                    size += len(held[-1])
+                    if size >= SHUFFLED:
+                        seen += learn()
+                        held, size = [], 0
+            if held:
+                seen += learn()
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(own.size)), pa.array(own.ravel().astype(np.float64) * seen), pa.array(np.full(own.size, seen))], ["at", "value", "weight"])
+
+        sums = sequences.mapInArrow(passed, "at long, value double, weight long").groupBy("at").agg((F.sum("value") / F.sum("weight")).alias("mean")).orderBy("at").toPandas()
+        if len(sums):
+            state = sums["mean"].to_numpy(np.float32).reshape(state.shape)
+        start.unpersist()
+    parts = taken_apart(state[0])
     model.vectors, model.mixing, model.outputs, model.bias = (parts[k] for k in ("vectors", "mixing", "outputs", "bias"))
 
 
-def train(docs: DataFrame, counts: DataFrame, table_words: int = TABLE_WORDS, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Model of the training documents (doc_id, text) and their exact token counts."""
+def train(docs: DataFrame, counts: DataFrame, table_words: int = TABLE_WORDS, sample_docs: int | None = None) -> Model:
+    """Model of the training documents (doc_id, text) and their exact token counts; a number of ``sample_docs`` fits the network to so many alone."""
     # The least count in the table: the histogram has one row for each of 4 steps to a doubling.
     histogram = counts.groupBy(F.floor(4 * F.log2("n")).alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()
     least, words = 2**62, 0
@@ -216,15 +284,13 @@ def train(docs: DataFrame, counts: DataFrame, table_words: int = TABLE_WORDS, sa
     by = np.argsort(hashes.view(np.uint64))
     model = Model(total, distinct, hashes.view(np.uint64)[by], n[by], unit[by], classes, np.bincount(classes, mass, CLASSES) + 0.1 * (np.bincount(classes, kinds, CLASSES) + 1))
 
-    small = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
-    ids = small.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
-    sample = small.join(F.broadcast(ids), "doc_id", "left_semi").select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    texts = []
-    for row in sample.toLocalIterator():
-        data = np.frombuffer(bytes(row.text), np.uint8)
-        h, s, _ = tokens(data, np.array([0, len(data)]))
-        texts.append(model.look_up(h, s)[2])
-    fit_network(model, texts)
+    by_unit = np.concatenate([np.zeros(WORDS), np.bincount(classes, mass, CLASSES)]) + 0.1
+    by_unit[: len(order)] += n[order]
+    texts = docs
+    if sample_docs is not None:
+        ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
+        texts = docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    fit_network(model, texts, by_unit / by_unit.sum())
     return model
 
 
