@@ -53,3 +53,14 @@ def test_plans(spark):
     plan = Q.explain(Q.key_point(spark, SF))
     assert "EqualTo(o_orderkey,777)" in plan and "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in plan
     assert "WindowGroupLimit" in Q.explain(Q.knn_batch_join(spark, SF))
+
+
+def test_conflicts_of_all_events(spark, duck):
+    """The whole write set against brute force, with conflicts beyond the first 1,000 events."""
+    larger = SF.replace("sf0.001", "sf0.01")  # the smallest table ends before event 1,000
+    found = {(r.key, r.winner, r.loser) for r in Q.mvcc_conflicts_all(spark, larger).collect()}
+    by_key = {}
+    for event, user in duck.sql(f"SELECT event_id, user_id FROM '{larger}/events.parquet'").fetchall():
+        by_key.setdefault(user, []).append(event)
+    assert found == {(u, a, b) for u, own in by_key.items() for a in own for b in own if a + 40 < b + 40 and a + 40 > b}
+    assert any(a >= 1000 for _, a, _ in found)

@@ -206,6 +206,12 @@ def mvcc_conflicts(spark, sf):
     return vs.conflicts(e.select(F.col("event_id").alias("txn_id"), F.col("user_id").alias("key"), F.col("event_id").alias("start_ts"), (F.col("event_id") + 40).alias("commit_ts")))
 
 
+@query()
+def mvcc_conflicts_all(spark, sf):
+    e = table(spark, sf, "events")
+    return vs.conflicts(e.select(F.col("event_id").alias("txn_id"), F.col("user_id").alias("key"), F.col("event_id").alias("start_ts"), (F.col("event_id") + 40).alias("commit_ts")))
+
+
 @query(_VERSIONS + "SELECT key, begin_ts, end_ts, value FROM v WHERE end_ts IS NULL OR begin_ts >= 700 OR end_ts >= 700")
 def mvcc_gc(spark, sf):
     return vs.collect_garbage(_versions(spark, sf), 700)
