@@ -4,10 +4,13 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from vecrel import queries as Q
+from vecrel.operators import hnsw
 
 from .conftest import SF
 
@@ -64,3 +67,26 @@ def test_conflicts_of_all_events(spark, duck):
         by_key.setdefault(user, []).append(event)
     assert found == {(u, a, b) for u, own in by_key.items() for a in own for b in own if a + 40 < b + 40 and a + 40 > b}
     assert any(a >= 1000 for _, a, _ in found)
+
+
+def test_searches_ask_every_hundredth_row(spark, duck):
+    """Queries are all ids divisible by 100, not the first few; the exact join against numpy."""
+    table = duck.sql("SELECT vec_id, embedding FROM embeddings ORDER BY vec_id").df()
+    ids, vectors = table.vec_id.to_numpy(), np.stack(table.embedding.to_list()).astype(np.float64)
+    asked = {int(i) for i in ids if i % 100 == 0}
+    found = {}
+    for r in Q.knn_batch_join_all(spark, SF).collect():
+        found.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    assert set(found) == asked
+    for q, own in found.items():
+        apart = np.sqrt(((vectors - vectors[ids == q]) ** 2).sum(axis=1))
+        assert [own[k] for k in range(1, 6)] == ids[np.lexsort((ids, apart))[:5]].tolist()
+    assert {r.query_id for r in Q.knn_hnsw(spark, SF).collect()} == asked
+    assert {r.query_id for r in Q.hnsw_recall(spark, SF).collect()} == asked
+
+
+def test_graph_search_in_blocks(spark):
+    index = hnsw.Index.build(Q.emb(spark, SF))
+    queries = Q.emb(spark, SF).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    whole, cut = (sorted(map(tuple, index.search(queries, 3, **b).collect())) for b in ({}, {"block": 2}))
+    assert whole == cut and len(whole) == 3 * queries.count()

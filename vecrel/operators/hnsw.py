@@ -13,6 +13,7 @@ import json
 import math
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, replace
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import is_finite
+from .knn import QUERY_BLOCK
 
 FORMAT, VERSION = "small-world-graph", 1
 NODES = "shard int, node int, id long, level int, neighbors array<array<int>>, vector array<float>"
@@ -177,18 +179,19 @@ class Index:
     def with_ef_search(self, ef: int) -> Index:
         return Index(self.nodes, replace(self.params, ef_search=ef), self.dims)
 
-    def search(self, queries: DataFrame, k: int) -> DataFrame:
-        """(query_id, id, distance, rank) of a bounded query set (query_id, query)."""
+    def search(self, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+        """(query_id, id, distance, rank) of a query set (query_id, query), sent to the shards in blocks."""
         if k < 0:
             raise ValueError("k must not be negative")
-        asked = [(r[0], np.asarray(r[1], np.float64)) for r in queries.select("query_id", "query").toLocalIterator()]
-        for _, q in asked:
-            if len(q) != self.dims:
-                raise ValueError(f"dimension mismatch: expected {self.dims}, got {len(q)}")
-            if not np.isfinite(q).all():
-                raise ValueError("a query vector holds NaN or infinite values")
         params, dims, spark = self.params, self.dims, self.nodes.sparkSession
-        shared = spark.sparkContext.broadcast(asked)
+        rows, shared = queries.select("query_id", "query").toLocalIterator(), []
+        while asked := [(r[0], np.asarray(r[1], np.float64)) for r in islice(rows, block)]:
+            for _, q in asked:
+                if len(q) != dims:
+                    raise ValueError(f"dimension mismatch: expected {dims}, got {len(q)}")
+                if not np.isfinite(q).all():
+                    raise ValueError("a query vector holds NaN or infinite values")
+            shared.append(spark.sparkContext.broadcast(asked))
 
         def look(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("node")
@@ -198,7 +201,7 @@ class Index:
             # Levels are drawn in node order, and only a higher level moves the entry.
             graph.entry = int(np.argmax(pdf.level.to_numpy()))
             ids = pdf.id.to_numpy()
-            rows = [(name, int(ids[i]), d) for name, q in shared.value for d, i in graph.search(q, k, params.ef_search)]
+            rows = [(name, int(ids[i]), d) for part in shared for name, q in part.value for d, i in graph.search(q, k, params.ef_search)]
             return pd.DataFrame(rows, columns=["query_id", "id", "distance"]).astype({"query_id": "int64", "id": "int64", "distance": "float64"})
 
         found = self.nodes.groupBy("shard").applyInPandas(look, "query_id long, id long, distance double")

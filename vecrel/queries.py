@@ -472,6 +472,15 @@ def knn_batch_join(spark, sf):
     return knn.knn_join(queries, emb(spark, sf), 5).select("query_id", "vec_id", r6(F.col("distance")).alias("distance"), "rank")
 
 
+def _every_hundredth(spark, sf):
+    return emb(spark, sf).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+@query()
+def knn_batch_join_all(spark, sf):
+    return knn.knn_join(_every_hundredth(spark, sf), emb(spark, sf), 5).select("query_id", "vec_id", r6(F.col("distance")).alias("distance"), "rank")
+
+
 def _parts(spark, sf):
     return emb(spark, sf).join(table(spark, sf, "part"), F.col("vec_id") == F.col("p_partkey"))
 
@@ -517,13 +526,12 @@ def hybrid_vector_first(spark, sf):
 @query()
 def knn_hnsw(spark, sf):
     index = hnsw.Index.build(emb(spark, sf))
-    queries = emb(spark, sf).where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return index.search(queries, 10).select("query_id", F.col("id").alias("vec_id"), r6(F.col("distance")).alias("distance"), "rank")
+    return index.search(_every_hundredth(spark, sf), 10).select("query_id", F.col("id").alias("vec_id"), r6(F.col("distance")).alias("distance"), "rank")
 
 
 @query()
 def hnsw_recall(spark, sf):
-    queries = emb(spark, sf).where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    queries = _every_hundredth(spark, sf)
     hits = hnsw.Index.build(emb(spark, sf)).search(queries, 10).withColumnRenamed("id", "vec_id")
     return knn.recall(knn.knn_join(queries, emb(spark, sf), 10), hits)
 
