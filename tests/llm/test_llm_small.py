@@ -251,6 +251,16 @@ def test_language_model(spark):
     assert lm.train_and_score(nothing).count() == 0
 
 
+def test_rows_without_own_ids(spark):
+    """Rows whose ids are null or repeat are judged by their texts, in near-dedup and in decontamination."""
+    rng = random.Random(13)
+    a, b, c, leak = (text(rng, 40, [f"{k}{i}" for i in range(300)]) for k in "abcd")
+    df = spark.createDataFrame([(None, a), (None, b), (None, a), (7, c), (7, leak), (None, leak), (7, None), (None, "")], "doc_id long, text string").repartition(3)
+    assert sorted(r.text or "" for r in minhash.dedup(df).collect()) == sorted([a, b, c, leak, "", ""])
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    assert sorted(r.text or "" for r in decontaminate.clean(df, bench).collect()) == sorted([a, b, a, c, "", ""])
+
+
 def test_language_model_learns_from_every_text(spark):
     """Words that follow each other only in one late, long text of over 64 KB among 1,600 others are learnt in that order."""
     rng = random.Random(12)

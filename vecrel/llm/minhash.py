@@ -189,6 +189,11 @@ def _with_rows(docs: DataFrame) -> DataFrame:
 
 def find(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL, cluster: int = CLUSTER) -> DataFrame:
     """(row, doc_id, class_id, n_links) for every document: its class, and the verified links kept at its node."""
+    return _found(docs, similarity, small, cluster).drop("class_row")
+
+
+def _found(docs: DataFrame, similarity: float, small: int = SMALL, cluster: int = CLUSTER) -> DataFrame:
+    """As ``find``, and class_row: a row of the class, which tells classes apart where ids are null or repeat."""
     spark = docs.sparkSession
     C.short_batches(spark)
     rows = _with_rows(C.stable(docs))
@@ -217,7 +222,7 @@ def find(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL, cl
     nodes = nodes.select("one", "two", "node").join(named, "node", "left").join(degree, "node", "left").select("one", "two", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     placed = C.written(prints.select("row", "doc_id", "one", "two", F.col("n") > 0).toDF("row", "doc_id", "one", "two", "worded").join(nodes.withColumn("worded", F.lit(True)), ["one", "two", "worded"], "left"), "bag-placed")
     names = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    return placed.join(names, "component", "left").select("row", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return placed.join(names, "component", "left").select("row", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "row").alias("class_row"))
 
 
 def _within(clusters: DataFrame, sets: DataFrame, similarity: float, limit: int) -> DataFrame:
@@ -238,6 +243,6 @@ def _within(clusters: DataFrame, sets: DataFrame, similarity: float, limit: int)
 def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each class, that of least doc_id (then the first of its rows), whole and with all columns."""
     docs = C.stable(docs)
-    found = find(docs, similarity)
-    kept = found.groupBy("class_id").agg(F.min(F.struct("doc_id", "row")).alias("x")).select(F.col("x.row").alias("row_"))
+    found = _found(docs, similarity)
+    kept = found.groupBy("class_row").agg(F.min(F.struct("doc_id", "row")).alias("x")).select(F.col("x.row").alias("row_"))
     return docs.withColumn("row_", F.monotonically_increasing_id()).join(kept, "row_", "left_semi").select(docs.columns)
