@@ -50,10 +50,44 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Cut the lineage: write ``df`` to the shared folder and read it back; its shuffle files go at once."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete written tables that nothing lazy reads any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, longer where a column of ``df`` has it."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+#: Keys with more than this share of all rows are too hot for one task of a join; there are at most so many.
+HOT_KEYS = 4000
+
+
+def having(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
+    """The rows whose ``on`` is among ``keys`` (on, n), n being the number of rows that have it and ``total`` that of all.
+
+    Keys of more than total / HOT_KEYS rows are at most HOT_KEYS, so those are sent to
+    all tasks; the others are joined, and none of them makes a large task.
+    """
+    hot = F.col("n") > total / HOT_KEYS
+    few = F.broadcast(keys.where(hot).select(*on))
+    return rows.join(few, on, "left_semi").unionByName(rows.join(few, on, "left_anti").join(keys.where(~hot).select(*on), on, "left_semi"))
 
 
 def stable(docs: DataFrame) -> DataFrame:

@@ -2,8 +2,7 @@
 
 A text becomes the pieces that the model's own encoder finds.  Spaces turn into U+2581
 after one more is put in front; the text is then cut into words where no piece can
-cross: before a space mark that follows another character, and around characters that
-no piece holds.
+cross: between characters that stand side by side in no piece.
 
 The words are encoded once each: substrings of bounded length are exploded, equi-joined
 to the piece table, the edges grouped by word, and a Viterbi fold runs over them with
@@ -25,14 +24,15 @@ the same lattice over the same piece table: moving each text or each rare word w
 take more disk than the input.  Texts stay in their rows; nothing is shuffled but words.
 
 Edge cases: a null text gives null ids, an empty one no ids.  Spaces of any number, line
-breaks, control characters and characters outside the vocabulary come back exactly.
-Repeated rows are encoded each on its own; other columns are kept.
+breaks, control characters and characters outside the vocabulary come back exactly; the
+mark U+2581 itself comes back as a space, as with the model's own decoder.  Repeated rows
+are encoded each on its own; other columns are kept, but a column named ``ids`` (for
+``decode``: ``decoded``) is replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -61,12 +61,12 @@ class Pieces:
     of_byte: list[int]
     unknown_id: int
     longest: int
-    alone: str  # characters of ASCII that no piece holds
     merging: bool  # whether scores rank merges
     edges: dict[str, int] = field(default_factory=dict)  # pieces that can be in a split
     apart: dict[int, bool] = field(default_factory=dict)  # by pair: whether it stays a pair
     ends: dict[str, int] = field(default_factory=dict)  # every ending of a piece, with its id where it is one
     unknown: float = 0.0
+    made: Cutter | None = None
 
     def __post_init__(self) -> None:
         self.unknown = min((self.scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN
@@ -98,9 +98,67 @@ class Pieces:
                 self.apart.clear()
         return known
 
-    def words(self) -> re.Pattern:
-        out = re.escape(self.alone)
-        return re.compile(f"[{out}]|{MARK}*[^{MARK}{out}]+|{MARK}+" if out else f"{MARK}*[^{MARK}]+|{MARK}+")
+    def cutter(self) -> Cutter:
+        """Made once for each worker."""
+        if self.made is None:
+            self.made = Cutter(self.ids)
+        return self.made
+
+
+class Cutter:
+    """Cuts marked texts into words, between characters that stand side by side in no piece."""
+
+    def __init__(self, ids: dict[str, int]):
+        chars = sorted(set("".join(ids)))
+        self.place = np.zeros(0x110000, np.uint16)  # 0: a character that no piece holds
+        self.place[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.beside = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        places = self.place[_codes("".join(ids))].astype(np.int64)
+        last = np.cumsum([len(t) for t in ids]) - 1
+        pairs = np.ones(len(places), bool)
+        pairs[last] = False
+        at = np.flatnonzero(pairs)
+        self.beside[places[at], places[at + 1]] = True
+
+    def cut(self, texts: list[str | None]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Marked texts in a row, starts, ends and hashes of their words, and how many each text has; about CHUNK_BYTES characters at a time."""
+        lo = 0
+        while lo < len(texts):
+            own, size = [], 0
+            while lo < len(texts) and (not own or size + len(texts[lo] or "") <= C.CHUNK_BYTES):
+                own.append(marked(texts[lo] or ""))
+                size += len(own[-1])
+                lo += 1
+            joined = "".join(own)
+            codes = _codes(joined)
+            first = np.cumsum([0, *map(len, own)])
+            cut = np.ones(len(codes), bool)
+            places = self.place[codes]
+            cut[1:] = ~self.beside[places[:-1], places[1:]]
+            cut[first[:-1][first[:-1] < len(codes)]] = True
+            starts = np.flatnonzero(cut)
+            ends = np.append(starts[1:], len(codes)) if len(starts) else starts
+            yield joined, starts, ends, _hashes(codes, starts, ends), np.diff(np.searchsorted(starts, first))
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    prefix = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(C.mix(codes.astype(np.uint64) + np.uint64(1)) * C.powers(len(codes) + 1)[0][: len(codes)], out=prefix[1:])
+    return C.spans_hash(prefix, starts, ends)
+
+
+def hashed(words: list[str]) -> np.ndarray:
+    """The hashes of words as ``Cutter.cut`` gives them."""
+    out = [np.zeros(0, np.uint64)]
+    for lo in range(0, len(words), 50_000):
+        own = words[lo : lo + 50_000]
+        ends = np.cumsum(list(map(len, own)))
+        out.append(_hashes(_codes("".join(own)), np.concatenate([[0], ends[:-1]]), ends))
+    return np.concatenate(out)
 
 
 def load(path: str = MODEL) -> Pieces:
@@ -120,31 +178,34 @@ def load(path: str = MODEL) -> Pieces:
             of_byte[b] = i
     plain = [not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) for i in range(n)]
     ids = {t: i for i, t in enumerate(text) if plain[i]}
-    # A piece may cross a cut only if a mark follows another character in it: then words are not cut there.
-    if any(re.search(f"[^{MARK}]{MARK}", t) for t in ids):
-        raise ValueError("pieces with a space mark after another character are not supported")
-    held = set("".join(ids))
-    alone = "".join(chr(c) for c in range(128) if chr(c) not in held and chr(c) != " ")
-    return Pieces(ids, [model.get_score(i) for i in range(n)], [t if plain[i] else "" for i, t in enumerate(text)], byte, of_byte, model.unk_id(), max(map(len, ids)), alone, proto.trainer_spec.model_type == proto.trainer_spec.BPE)
-
-
-def encode_word(pieces: Pieces, word: str) -> list[int]:
-    """The lattice of one word, folded where it stands."""
-    n = len(word)
-    back = _merging_path(pieces, word) if pieces.merging else _best_path(pieces, word)
-    out: list[int] = []
-    while n:
-        start, piece = back[n]
-        out += [piece] if piece >= 0 else [pieces.of_byte[b] for b in reversed(word[start:n].encode(errors="replace"))]
-        n = start
-    return out[::-1]
-
-
-def _merging_path(pieces: Pieces, word: str) -> list[tuple[int, int]]:
-    """The one edge into each place that its neighbour lets stand; edges grow leftward while they end some piece."""
+    return Pieces(ids, [model.get_score(i) for i in range(n)], [t if plain[i] else "" for i, t in enumerate(text)], byte, of_byte, model.unk_id(), max(map(len, ids)), proto.trainer_spec.model_type == proto.trainer_spec.BPE)
+
+
+def encode_words(pieces: Pieces, words: list[str]) -> Iterator[list[int]]:
+    """The lattices of the words, folded where they stand; where scores rank merges, a word keeps what it shares with the one before."""
+    back, last, before = [(0, -1)], [-1], ""
+    for word in words:
+        if pieces.merging:
+            n, most = 0, min(len(word), len(before))
+            while n < most and word[n] == before[n]:
+                n += 1
+            del back[n + 1 :], last[n + 1 :]
+            _merging_path(pieces, word, back, last)
+            before = word
+        else:
+            back = _best_path(pieces, word)
+        n, out = len(word), []
+        while n:
+            start, piece = back[n]
+            out += [piece] if piece >= 0 else [pieces.of_byte[b] for b in reversed(word[start:n].encode(errors="replace"))]
+            n = start
+        yield out[::-1]
+
+
+def _merging_path(pieces: Pieces, word: str, back: list[tuple[int, int]], last: list[int]) -> None:
+    """Add the one edge into each further place that its neighbour lets stand; edges grow leftward while they end some piece."""
     get, apart, stays_of = pieces.ends.get, pieces.apart.get, pieces.stays
-    back, last = [(0, -1)], [-1]
-    for stop in range(1, len(word) + 1):
+    for stop in range(len(back), len(word) + 1):
         edge = (stop - 1, -1)  # a character without a piece, unless an edge stands
         for start in range(stop - 1, -1, -1):
             piece = get(word[start:stop])
@@ -158,7 +219,6 @@ def _merging_path(pieces: Pieces, word: str) -> list[tuple[int, int]]:
                     break
         back.append(edge)
         last.append(edge[1])
-    return back
 
 
 def _best_path(pieces: Pieces, word: str) -> list[tuple[int, int]]:
@@ -187,14 +247,16 @@ def marked(text: str) -> str:
 
 def count_words(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """(word, n) of all texts of (text)."""
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = pieces.words().findall
+        cutter = shared.value.cutter()
         held: Counter[str] = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    held.update(find(marked(text)))
+            for joined, starts, ends, hashes, _ in cutter.cut(batch.column(0).to_pylist()):
+                _, at, n = np.unique(hashes, return_index=True, return_counts=True)
+                for a, b, k in zip(starts[at].tolist(), ends[at].tolist(), n.tolist(), strict=True):
+                    held[joined[a:b]] += k
             if len(held) > 400_000:
                 yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
                 held = Counter()
@@ -265,59 +327,74 @@ def _with_void(grouped: DataFrame, pieces: Pieces) -> DataFrame:
     return grouped.join(found, "word", "left").withColumn("void", F.coalesce("void", F.expr("cast(array() AS array<bigint>)")))
 
 
-class _Words(dict):
-    """Word to its place in a list of encoded words; a missing one is encoded and added.
+class _Words:
+    """Hash of a word to its place in a list of encoded words; a missing one is encoded and added.
 
-    Added words are forgotten between batches once there are ``MOST`` of them.
+    Added words are forgotten between chunks once there are ``MOST`` of them.
     """
 
     MOST = 300_000
 
-    def __init__(self, pieces: Pieces, words: list[str], flat: np.ndarray, sizes: np.ndarray):
-        super().__init__(zip(words, range(len(words))))
-        self.pieces, self.flat, self.sizes = pieces, flat, sizes
-        self.added: list[str] = []
-        self.coded: list[list[int]] = []
-
-    def __missing__(self, word: str) -> int:
-        at = self[word] = len(self.sizes) + len(self.coded)
-        self.coded.append(encode_word(self.pieces, word))
-        self.added.append(word)
-        return at
+    def __init__(self, pieces: Pieces, keys: np.ndarray, flat: np.ndarray, sizes: np.ndarray):
+        """``keys``: sorted hashes of the table's words; ``flat``: their ids in a row; ``sizes``: how many each has."""
+        self.pieces, self.keys, self.flat, self.sizes = pieces, keys, flat, sizes
+        self.first = np.cumsum(sizes) - sizes
+        self._forget()
+
+    def _forget(self) -> None:
+        self.added: dict[int, int] = {}
+        self.coded: list[int] = []
+        self.ends = [0]
+
+    def _places(self, joined: str, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First id and number of ids of each word."""
+        kinds, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+        found = np.minimum(np.searchsorted(self.keys, kinds), max(0, len(self.keys) - 1))
+        known = self.keys[found] == kinds if len(self.keys) else np.zeros(len(kinds), bool)
+        first, size = np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64)
+        first[known], size[known] = self.first[found[known]], self.sizes[found[known]]
+        new = np.flatnonzero(~known)
+        missing = sorted((joined[a:b], h) for a, b, h in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), kinds[new].tolist(), strict=True) if h not in self.added)
+        for (_, h), ids in zip(missing, encode_words(self.pieces, [w for w, _ in missing]), strict=True):
+            self.added[h] = len(self.added)
+            self.coded += ids
+            self.ends.append(len(self.coded))
+        own, places = np.array(self.ends), np.array([self.added[h] for h in kinds[new].tolist()], np.int64)
+        first[new], size[new] = len(self.flat) + own[places], own[places + 1] - own[places]
+        return first[back], size[back]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has."""
-        find, places, words = self.pieces.words().findall, [], []
-        for text in texts:
-            own = find(marked(text)) if text else ()
-            places.extend(map(self.__getitem__, own))
-            words.append(len(own))
-        places = np.array(places, np.int64)
-        size = np.concatenate([self.sizes, np.fromiter(map(len, self.coded), np.int64, len(self.coded))])
-        flat = np.concatenate([self.flat, np.array([i for own in self.coded for i in own], np.int32)])
-        first = np.cumsum(size) - size
-        own = size[places]
-        total = np.cumsum(own)
-        at = np.repeat(first[places] - total + own, own) + np.arange(own.sum())
-        ends = np.concatenate([[0], total])[np.cumsum(words)] if words else np.zeros(0, np.int64)
-        if len(self.added) > self.MOST:
-            for word in self.added:
-                del self[word]
-            self.added, self.coded = [], []
-        return flat[at], np.diff(ends, prepend=0)
+        out, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for joined, starts, ends, hashes, words in self.pieces.cutter().cut(texts):
+            first, size = self._places(joined, starts, ends, hashes)
+            total = np.cumsum(size)
+            flat = np.concatenate([self.flat, np.array(self.coded, np.int32)])
+            out.append(flat[np.repeat(first - total + size, size) + np.arange(size.sum())])
+            counts.append(np.diff(np.concatenate([[0], total])[np.cumsum(words)], prepend=0))
+            if len(self.added) > self.MOST:
+                self._forget()
+        return np.concatenate(out), np.concatenate(counts)
 
 
 def _shared_words(docs: DataFrame, pieces: Pieces, table_words: int):
     """Broadcast of the piece table and the encoded frequent words: at most ``table_words`` of them."""
-    words = C.written(frequent(C.written(count_words(docs, pieces), "piece-words"), table_words), "piece-frequent")
-    table = C.written(lattice(words, pieces), "piece-lattice").toPandas()
-    flat = np.concatenate([*table.ids, np.zeros(0, np.int32)]).astype(np.int32)
-    return docs.sparkSession.sparkContext.broadcast((pieces, table.word.tolist(), flat, np.array([len(x) for x in table.ids], np.int64)))
+    counted = C.written(count_words(docs, pieces), "piece-words")
+    words = C.written(frequent(counted, table_words), "piece-frequent")
+    coded = C.written(lattice(words, pieces), "piece-lattice")
+    table = coded.toPandas()
+    C.free(counted, words, coded)
+    keys = hashed(table.word.tolist())
+    by = np.argsort(keys)
+    own = [table.ids.iloc[i] for i in by.tolist()]
+    flat = np.concatenate([*own, np.zeros(0, np.int32)]).astype(np.int32)
+    return docs.sparkSession.sparkContext.broadcast((pieces, keys[by], flat, np.array([len(x) for x in own], np.int64)))
 
 
 def encode(docs: DataFrame, path: str = MODEL, table_words: int = TABLE_WORDS) -> DataFrame:
     """The columns of ``docs`` and ``ids``, the pieces of its text."""
     C.short_batches(docs.sparkSession)
+    docs = docs.drop("ids")
     shared = _shared_words(docs, load(path), table_words)
     at, schema = len(docs.columns), docs.schema
     text_at = docs.columns.index("text")
@@ -347,6 +424,7 @@ def decode_ids(spelled: list[bytes], ids: np.ndarray) -> str:
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     """``encoded`` with ``decoded``, the text that its ids spell."""
+    encoded = encoded.drop("decoded")
     shared = encoded.sparkSession.sparkContext.broadcast(spellings(load(path)))
     at, names = encoded.columns.index("ids"), [*encoded.columns, "decoded"]
 
