@@ -54,7 +54,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import suffixes
 
-    return suffixes.report(C.documents(spark, sf_dir).select("doc_id", "text"))
+    return suffixes.report(C.documents(spark, sf_dir).select("doc_id", "text"), passage=(suffixes.PASSAGE, suffixes.PASSAGE_SEED))
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,9 @@ stretch of text, and
   the greatest common extension to the left is at a neighbour.  Left and right extension
   of ``match`` bytes or more together are a repeat, and all repeats are found so.
 
-Counts are 64-bit hashes of seeds and stretches; the merge compares bytes.
+Counts are 64-bit hashes of seeds and stretches; the merge compares bytes.  A seed with more
+than ``CROWD`` distinct surroundings (one line in a great many documents) would make one long
+merge; the windows around such seeds are counted by their hashes instead, in many tasks.
 
 Edge cases: a null text counts as empty; texts shorter than ``match`` keep all bytes.
 Overlapping occurrences count, within a document too.  Repeated rows are repeats of each
@@ -44,8 +46,10 @@ from . import common as C
 MATCH, SEED = 400, 128
 #: Windows of one piece; places within a piece take 20 bits of a packed hash.
 PIECE = 1 << 19
-#: Suffixes that a merging task gets on average.
-PART = 20_000
+#: Suffixes that a merging task gets on average, and the most that one seed may bring.
+PART, CROWD = 20_000, 10_000
+#: Length of strings, and of seeds, that finds passages of over 50 words of four bytes.
+PASSAGE, PASSAGE_SEED = 200, 64
 _PLACE = np.uint64((1 << 20) - 1)
 
 
@@ -289,22 +293,57 @@ def _merged(runs: DataFrame, match: int, seed: int) -> DataFrame:
     return runs.groupBy("part").applyInPandas(merge, "row long, start long, stop long")
 
 
-def spans(docs: DataFrame, match: int = MATCH, seed: int = SEED) -> DataFrame:
+def spans(docs: DataFrame, match: int = MATCH, seed: int = SEED, crowd: int = CROWD) -> DataFrame:
     """(row, start, stop) of repeated bytes of (row, text); spans of a row may overlap."""
     seen = C.written(_anchored(docs, match, seed), "suffix-anchors")
-    twice = seen.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
-    live = C.written(seen.join(twice, "seed"), "suffix-live")
-    stretch = live.groupBy("seed", "whole").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("one"))
-    again = stretch.where("n > 1").select("seed", "whole")
-    whole = live.join(again, ["seed", "whole"], "left_semi").select("row", F.col("first").alias("start"), (F.col("last") + match).alias("stop"))
-    mixed = stretch.groupBy("seed").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").select("seed")
-    picked = stretch.join(mixed, "seed").select("seed", F.col("one.row").alias("row"), F.col("one.at").alias("at"), (F.col("n") == 1).alias("wanted"))
+    total = seen.count()
+    twice = C.written(seen.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1"), "suffix-seeds")
+    live = C.written(C.having(seen, twice, ["seed"], total), "suffix-live")
+    C.free(seen, twice)
+    stretch = C.written(live.groupBy("seed", "whole").agg(F.count("*").alias("n"), F.min(F.struct("row", "at", "first", "last")).alias("one")), "suffix-stretches")
+    again = C.having(live, stretch.where("n > 1"), ["seed", "whole"], total)
+    out = C.written(again.select("row", F.col("first").alias("start"), (F.col("last") + match).alias("stop")), "suffix-whole")
+    C.free(live)
+    mixed = stretch.groupBy("seed").agg(F.count("*").alias("n"), F.min("n").alias("least")).where("n > 1 AND least = 1")
+    one = stretch.select("seed", F.col("n").alias("copies"), "one.*")
+    picked = C.written(C.having(one, mixed, ["seed"], total).select("seed", "row", "at", "first", "last", (F.col("copies") == 1).alias("wanted")), "suffix-picked")
+    crowds = C.written(picked.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > crowd), "suffix-crowds")  # a share of 1 / crowd of the rows at most
+    if crowds.isEmpty():
+        few = picked
+    else:
+        few = picked.join(crowds, "seed", "left_anti")
+        out = out.unionByName(_counted(docs, C.having(picked, crowds, ["seed"], total), match))
     # An anchor of a very long text may have several stretches, cut by the pieces; it is one suffix.
-    picked = C.written(picked.groupBy("seed", "row", "at").agg(F.max("wanted").alias("wanted")), "suffix-picked")
-    parts = max(1, -(-picked.count() // PART))
-    by_row = picked.groupBy("row").agg(F.collect_list(F.struct("at", F.pmod(F.xxhash64("seed"), F.lit(parts)).cast("int").alias("part"), "wanted")).alias("anchors"))
+    suffixes = C.written(few.groupBy("seed", "row", "at").agg(F.max("wanted").alias("wanted")), "suffix-few")
+    parts = max(1, -(-suffixes.count() // PART))
+    by_row = suffixes.groupBy("row").agg(F.collect_list(F.struct("at", F.pmod(F.xxhash64("seed"), F.lit(parts)).cast("int").alias("part"), "wanted")).alias("anchors"))
     runs = _sorted_runs(docs.join(by_row, "row").select("text", "row", "anchors"), match, seed)
-    return whole.unionByName(_merged(runs, match, seed))
+    out = out.unionByName(C.written(_merged(runs, match, seed), "suffix-merged"))
+    C.free(stretch, picked, crowds, suffixes)
+    return out
+
+
+def _counted(docs: DataFrame, stretches: DataFrame, match: int) -> DataFrame:
+    """(row, start, stop) of the windows of the stretches (row, first, last) that occur in two of them, by hash."""
+    listed = stretches.groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("own"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = C.text_bytes(batch.column(1))
+            lists, rows = batch.column(2).to_pylist(), batch.column(0).to_pylist()
+            for lo, hi, part, off in C.groups(data, offsets):
+                prefix = C.prefix_hash(part)
+                for i in range(lo, hi):
+                    own = np.unique(np.concatenate([np.arange(x["first"], x["last"] + 1) for x in lists[i]]))
+                    found = C.spans_hash(prefix, own + off[i - lo], own + off[i - lo] + match)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), rows[i])), pa.array(own), pa.array(found.view(np.int64))], ["row", "start", "window"])
+
+    windows = C.written(docs.join(listed, "row").select("row", "text", "own").mapInArrow(run, "row long, start long, window long"), "suffix-windows")
+    again = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1")
+    out = C.having(windows, again, ["window"], windows.count()).select("row", "start", (F.col("start") + match).alias("stop"))
+    out = C.written(out, "suffix-counted")
+    C.free(windows)
+    return out
 
 
 def _kept(text: bytes, own: list[dict] | None) -> tuple[bytes, int]:
@@ -314,15 +353,22 @@ def _kept(text: bytes, own: list[dict] | None) -> tuple[bytes, int]:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), len(joined)
 
 
-def _listed(found: DataFrame) -> DataFrame:
-    return found.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans_"))
+def _listed(found: DataFrame, row: str = "row", spans: str = "spans") -> DataFrame:
+    return found.groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("start", "stop", "short")).alias(spans))
 
 
-def report(docs: DataFrame, match: int = MATCH, seed: int = SEED) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of (doc_id, text)."""
+def report(docs: DataFrame, match: int = MATCH, seed: int = SEED, passage: tuple[int, int] | None = None, crowd: int = CROWD) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated) for every row of (doc_id, text).
+
+    ``n_repeated``: with a ``passage`` (length and seed), the bytes in repeated strings of that
+    length, which are looked for beside those that are removed; without one, ``n_removed``.
+    """
     C.short_batches(docs.sparkSession)
     rows = C.stable(docs).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = rows.join(_listed(spans(rows.select("row", "text"), match, seed)), "row", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "spans_")
+    found = spans(rows.select("row", "text"), match, seed, crowd).withColumn("short", F.lit(False))
+    if passage:
+        found = found.unionByName(spans(rows.select("row", "text"), *passage, crowd).withColumn("short", F.lit(True)))
+    joined = rows.join(_listed(found), "row", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,21 +376,24 @@ def report(docs: DataFrame, match: int = MATCH, seed: int = SEED) -> DataFrame:
             raw, out = data.tobytes(), []
             for i, own in enumerate(batch.column(2).to_pylist()):
                 text = raw[offsets[i] : offsets[i + 1]]
-                kept, n = _kept(text, own)
-                out.append((len(text), len(text) - len(kept), n, hashlib.sha256(kept).hexdigest()))
-            columns = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                kept, n = _kept(text, [x for x in own or [] if not x["short"]])
+                out.append((len(text), len(text) - len(kept), n, hashlib.sha256(kept).hexdigest(), len(text) - len(_kept(text, own)[0])))
+            columns = list(zip(*out, strict=True)) or [[], [], [], [], []]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated"])
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long")
 
 
 def remove(docs: DataFrame, match: int = MATCH, seed: int = SEED) -> DataFrame:
     """The documents with repeated bytes removed (a character cut in two goes whole) and n_chars, if there, anew; other columns as they were."""
     C.short_batches(docs.sparkSession)
     docs = C.stable(docs)
+    row = C.fresh(docs, "row")
+    found = C.fresh(docs, "spans")
     texts = docs.select(F.monotonically_increasing_id().alias("row"), "text")
-    listed = _listed(spans(texts, match, seed)).withColumnRenamed("row", "row_")
-    joined = docs.withColumn("row_", F.monotonically_increasing_id()).join(listed, "row_", "left").select(*docs.columns, "spans_")
+    listed = _listed(spans(texts, match, seed).withColumn("short", F.lit(False)), row, found)
+    joined = docs.withColumn(row, F.monotonically_increasing_id()).join(listed, row, "left").select(*docs.columns, found)
     schema, names, at = docs.schema, docs.columns, docs.columns.index("text")
     chars = names.index("n_chars") if "n_chars" in names else -1
 
