@@ -123,6 +123,7 @@ def test_near_duplicates(spark):
     for small, cluster in ((64, 4096), (4, 4096), (4, 40)):
         found = {r.doc_id: r.class_id for r in minhash.find(df, small=small, cluster=cluster).collect()}
         assert [found[i] for i in range(len(texts))] == classes(texts)
+    df = df.withColumn("row_", F.lit(7))
     kept = minhash.dedup(df)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(classes(texts))
     assert minhash.find(df.where(F.lit(False))).count() == 0
@@ -207,8 +208,17 @@ def test_repeated_strings(spark):
     df = docs_of(spark, texts)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.report(df, match=48, seed=16).collect()}
     assert [got[i] for i in range(len(texts))] == covered([(t or "").encode() for t in texts], 48)
-    cut = suffixes.remove(df, match=48, seed=16)
-    assert cut.columns == df.columns and cut.count() == len(texts)
+    # Seeds with more than three surroundings are counted by window; shorter passages are told beside.
+    got = {r.doc_id: r for r in suffixes.report(df, match=48, seed=16, passage=(32, 12), crowd=3).collect()}
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in map(got.get, range(len(texts)))] == covered([(t or "").encode() for t in texts], 48)
+    assert [got[i].n_repeated for i in range(len(texts))] == [n for _, n, _, _ in covered([(t or "").encode() for t in texts], 32)]
+    clash = df.withColumn("row_", F.lit(1)).withColumn("spans", F.lit(2)).withColumn("spans_", F.lit(3))
+    cut = suffixes.remove(clash, match=48, seed=16)
+    assert cut.columns == clash.columns and cut.count() == len(texts)
+    left = {r.doc_id: r.text for r in cut.collect()}
+    for i, (n, removed, _, kept) in enumerate(covered([(t or "").encode() for t in texts], 48)):
+        if (left[i] or "").isascii():
+            assert hashlib.sha256((left[i] or "").encode()).hexdigest() == kept
     assert suffixes.report(df.where(F.lit(False))).count() == 0
 
 

@@ -209,5 +209,6 @@ def _find(docs: DataFrame, block: Benchmark, threshold: float) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents without a leak, whole and with all columns; rows are told apart by their place in the table."""
     docs = C.stable(docs)
-    leaks = find(docs, benchmark, threshold).select(F.col("row").alias("row_")).distinct()
-    return docs.withColumn("row_", F.monotonically_increasing_id()).join(leaks, "row_", "left_anti").select(docs.columns)
+    row = C.fresh(docs, "row")
+    leaks = find(docs, benchmark, threshold).select(F.col("row").alias(row)).distinct()
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(leaks, row, "left_anti").select(docs.columns)

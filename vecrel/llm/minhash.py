@@ -243,6 +243,7 @@ def _within(clusters: DataFrame, sets: DataFrame, similarity: float, limit: int)
 def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each class, that of least doc_id (then the first of its rows), whole and with all columns."""
     docs = C.stable(docs)
+    row = C.fresh(docs, "row")
     found = _found(docs, similarity)
-    kept = found.groupBy("class_row").agg(F.min(F.struct("doc_id", "row")).alias("x")).select(F.col("x.row").alias("row_"))
-    return docs.withColumn("row_", F.monotonically_increasing_id()).join(kept, "row_", "left_semi").select(docs.columns)
+    kept = found.groupBy("class_row").agg(F.min(F.struct("doc_id", "row")).alias("x")).select(F.col("x.row").alias(row))
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(kept, row, "left_semi").select(docs.columns)
