@@ -29,7 +29,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffixes.remove(docs)
+    """Cut repeated passages: strings of PASSAGE bytes, shorter than those of the query of its own."""
+    return suffixes.remove(docs, suffixes.PASSAGE, suffixes.PASSAGE_SEED)
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
