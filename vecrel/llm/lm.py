@@ -110,9 +110,10 @@ class Model:
     def look_up(self, hashes: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each token: whether the table has it, its count there, its unit."""
         if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            found = self.hashes[at] == hashes
-            count, own = np.where(found, self.counts[at], 0), np.where(found, self.unit[at], -1)
+            kinds, back = np.unique(hashes, return_inverse=True)  # each kind is looked for once, in order
+            at = np.minimum(np.searchsorted(self.hashes, kinds), len(self.hashes) - 1)
+            found = self.hashes[at] == kinds
+            found, count, own = found[back], np.where(found, self.counts[at], 0)[back], np.where(found, self.unit[at], -1)[back]
         else:
             found, count, own = np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64), np.full(len(hashes), -1)
         return found, count, np.where(own >= 0, own, WORDS + self.classes[suffix])
@@ -166,11 +167,20 @@ def begun(noise: np.ndarray, seed: int) -> np.ndarray:
     return np.stack([flat, np.full_like(flat, 1e-6)]).astype(np.float32)
 
 
-def added(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Sums of ``values`` by the output or unit in ``rows``."""
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place; float32 exponents are kept from overflowing."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def added(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums of ``values`` by the output, unit or place and unit in ``rows``, of ``size``."""
     rows = rows.astype(np.uint16)
-    n = np.bincount(rows, minlength=WORDS + CLASSES)
-    out = np.zeros((WORDS + CLASSES, values.shape[1]), np.float32)
+    n = np.bincount(rows, minlength=size)
+    out = np.zeros((size, values.shape[1]), np.float32)
     own = np.flatnonzero(n)
     out[own] = np.add.reduceat(values[np.argsort(rows, kind="stable")], (np.cumsum(n) - n)[own])
     return out
@@ -182,23 +192,30 @@ def descend(state: np.ndarray, contexts: np.ndarray, units: np.ndarray, noise: n
     log_noise = (np.log(noise) + np.log(NOISE)).astype(np.float32)
     parts, sums = taken_apart(state[0]), state[1]
     order, steps = rng.permutation(len(units)), np.cumsum(noise)
+    places = np.arange(CONTEXT)[:, None] * outputs
     for lo in range(0, len(order), BATCH):
         at = order[lo : lo + BATCH]
-        target, before = units[at], contexts[at]
+        target, before = units[at], contexts[at].T  # before: one row for each place
         drawn = np.minimum(np.searchsorted(steps, rng.random(NOISE) * steps[-1], "right"), outputs - 1)
-        taken = [parts["vectors"][before[:, j]] for j in range(CONTEXT)]
-        hidden = sum(t * parts["mixing"][j] for j, t in enumerate(taken))
-        out_real, out_false = parts["outputs"][target], parts["outputs"][drawn]
-        real = np.einsum("ij,ij->i", hidden, out_real) + (parts["bias"] - log_noise)[target]
-        false = hidden @ out_false.T + (parts["bias"] - log_noise)[drawn]
+        # The vectors as they count in each place: one table to gather from.
+        hidden = (parts["mixing"][:, None] * parts["vectors"]).reshape(-1, SIZE)[(before + places).ravel()].reshape(CONTEXT, -1, SIZE).sum(0)
+        out_real, out_false, bias = parts["outputs"][target], parts["outputs"][drawn], parts["bias"] - log_noise
+        real = np.einsum("ij,ij->i", hidden, out_real) + bias[target]
+        false = hidden @ out_false.T
+        false += bias[drawn]
         share = np.float32(1 / len(at))
-        g_real = (1 / (1 + np.exp(-np.clip(real, -30, 30))) - 1) * share
-        g_false = share / (1 + np.exp(-np.clip(false, -30, 30)))
+        g_real = _sigmoid(real)
+        g_real -= 1
+        g_real *= share
+        g_false = _sigmoid(false)
+        g_false *= share
         g_hidden = g_real[:, None] * out_real + g_false @ out_false
+        # By place and unit: the sums serve the vectors and the mixing alike.
+        by_place = added((before + places).ravel(), np.broadcast_to(g_hidden, (CONTEXT, *g_hidden.shape)).reshape(-1, SIZE), CONTEXT * outputs).reshape(CONTEXT, outputs, SIZE)
         grads = {
-            "vectors": sum(added(before[:, j], g_hidden) * parts["mixing"][j] for j in range(CONTEXT)),
-            "mixing": np.stack([np.einsum("ij,ij->j", g_hidden, t) for t in taken]),
-            "outputs": added(np.concatenate([target, drawn]), np.concatenate([g_real[:, None] * hidden, g_false.T @ hidden])),
+            "vectors": np.einsum("jk,jik->ik", parts["mixing"], by_place),
+            "mixing": np.einsum("ik,jik->jk", parts["vectors"], by_place),
+            "outputs": added(np.concatenate([target, drawn]), np.concatenate([g_real[:, None] * hidden, g_false.T @ hidden]), outputs),
             "bias": np.bincount(target, g_real, outputs) + np.bincount(drawn, g_false.sum(0), outputs),
         }
         g = np.concatenate([x.ravel() for x in grads.values()]).astype(np.float32)
