@@ -82,7 +82,8 @@ def test_top_k(spark):
     rng = np.random.default_rng(2)
     rows = [(int(i), [float(x) for x in rng.normal(0, 0.3, 6)]) for i in range(80)]
     rows += [(200 + i, rows[0][1]) for i in range(30)] + [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (None, rows[1][1])]
-    rows += [(20, [0.9] * 6), (20, [0.9] * 6), (304, [0.5])]
+    rows += [(20, [0.9] * 6), (20, [0.9] * 6), (304, [0.5]), (305, [2e6, 1.0, 0.0, 0.0, 0.0, 0.0]), (340, [1e17, -1e17, 3e16, 0.0, 1.0, 1.0]), (341, [1e17, -9e16, 3e16, 0.0, 1.0, 1.0]), (342, [-1e17, 1e17, 0.0, 0.0, 0.0, 0.5])]
+    long = lambda x: max(-(2**63), min(2**63 - 1, x))
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("block", F.lit("clash"))
     ok = [(i, [math.floor(64 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     got = {}
@@ -91,7 +92,7 @@ def test_top_k(spark):
     for q in {i for i, _ in ok if i % 20 == 0 and i != 20}:
         own = next(v for i, v in ok if i == q)
         best = sorted(((-sum(a * b for a, b in zip(own, v)), i) for i, v in ok if i != q))[:20]
-        assert [(i, s) for _, i, s in sorted(got[q])] == [(i, -s) for s, i in best]
+        assert [(i, s) for _, i, s in sorted(got[q])] == [(i, long(-s)) for s, i in best]
     assert bitslice.search(df.where(F.lit(False)), df.where(F.lit(False)), 20).count() == 0
 
 
@@ -351,14 +352,44 @@ def test_chat(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "user", "why?"), (1, 2, "assistant", "because\n\n- a\n- b"), (1, 2, "assistant", "because\n\n- a\n- b"), (2, 0, "user", None), (2, None, None, "x"), (3, 0, "tool", "y"), (None, 0, "user", "z")]
     rows += [(4, i, "user" if i % 2 == 0 else "assistant", f"turn {i}") for i in range(600)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segment", F.lit("clash"))
-    got = chat.recover(df).collect()
-    assert len(got) == len(rows)
-    long = [r for r in got if r.conv_id == 4]
-    assert all(r.recovered and r.role == r.role_pred for r in long) and {r.segment for r in long} == {0, 1, 2}
-    assert all(r.rendered == f"<|{r.role}|>\nturn {r.turn}\n<|end|>\n" for r in long)
+    for segment in (256, 2):
+        got = chat.recover(df, segment).collect()
+        assert len(got) == len(rows)
+        long = [r for r in got if r.conv_id == 4]
+        assert all(r.recovered and r.role == r.role_pred for r in long)
+        assert all(r.rendered == f"<|{r.role}|>\nturn {r.turn}\n<|end|>\n" for r in long)
     assert chat.recover(df.where(F.lit(False))).count() == 0
 
 
+def test_chat_over_segments(spark):
+    """Segments of any size, over any tasks, are decoded as the one transcript; every line is rendered."""
+    rng = random.Random(15)
+    texts = ["yes", "why?", "- a\n- b", "Answer: x\nmore", "x" * 130 + "\n" + "y" * 140, "question\nQ: again?\nUser: no", ""]
+    rows = [(c, i, rng.choice(["system", "user", "assistant", "tool"]), rng.choice(texts)) for c in range(6) for i in range(rng.randint(1, 60))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {}
+    for segment, parts in ((1000, 1), (3, 1), (7, 5), (1, 5)):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        got = sorted(chat.recover(df, segment).collect(), key=lambda r: (r.conv_id, r.segment, r.nth))
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        for c in range(6):
+            own = [r for r in got if r.conv_id == c]
+            assert sorted({r.turn for r in own}) == [t for k, t, _, _ in rows if k == c]
+            found = "".join(re.sub(r"(?m)^<\|(system|user|assistant|end)\|>\n", "", r.rendered) for r in own)
+            roles = [(r.turn, r.role_pred) for r in own if r.rendered]
+            assert whole.setdefault(c, (found, roles))[0] == found
+            if len(roles) == len(whole[c][1]):  # a turn that runs over a border has a part on either side
+                assert roles == whole[c][1]
+            else:
+                assert segment < 1000 and set(whole[c][1]) <= set(roles)
+    states = chat.viterbi
+    kinds, look = [rng.randrange(5) for _ in range(40)], [rng.randrange(5) for _ in range(40)]
+    cuts = [0, 7, 8, 21, 40]
+    border = chat.settle([chat.cells(kinds[a:b], look[a:b]) for a, b in zip(cuts, cuts[1:])], 6, None)
+    pieced = [s for (a, b), (x, y) in zip(zip(cuts, cuts[1:]), border) for s in states(kinds[a:b], look[a:b], None if x == 6 else x, y)]
+    assert pieced == states(kinds, look)
+
+
 def test_viterbi():
     import itertools
 
