@@ -43,6 +43,11 @@ def test_language(spark):
     assert all(by[i].lang_pred == ("en" if i % 2 else "de") for i in range(60))
     assert [by[i].lang_pred for i in (100, 101, 102, 103)] == ["und", "und", "und", "en"] and by[100].score == 0
     assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in found)
+    # A language whose only text is far over a megabyte, in a row without an id, is learnt.
+    long = spark.createDataFrame([(None, text(rng, 200_000, "uno due tre casa albero acqua luce".split()), "it")], "doc_id long, text string, lang string")
+    more = langid.train(df.select("doc_id", "text", "lang").unionByName(long))
+    asked = spark.createDataFrame([(1, "casa luce acqua albero"), (2, "nicht ein haus")], "doc_id long, text string").withColumn("held_out", F.lit(True))
+    assert {r.doc_id: r.lang_pred for r in langid.predict(asked, more).collect()} == {1: "it", 2: "de"}
     nothing = langid.train(df.where(F.lit(False)))
     assert {r.lang_pred for r in langid.predict(df, nothing).collect()} == {"und"}
     assert langid.predict(df.where(F.lit(False)), nothing).count() == 0

@@ -7,10 +7,11 @@ and falls back to the next shorter context, down to a uniform byte.  A text gets
 language with the least exact code length over all of its bytes.
 
 Training reads a bounded sample (a documented parameter): per language the
-``sample_docs`` documents of least hash, each of at most ``sample_bytes`` bytes and
-read whole.  Prediction reads every byte of every text.
+``sample_docs`` documents of least hash, of any length and read whole; their bytes are
+counted where they lie and only the counts are gathered.  Prediction reads every byte of
+every text.
 
-Edge cases: a null text, an empty one or one without a letter gets ``und`` and score 0.
+Edge cases: rows without doc_id can be learnt from like others. a null text, an empty one or one without a letter gets ``und`` and score 0.
 Ties go to the language first in order.  With nothing to learn from, every text is
 ``und``.  Repeated rows are predicted each on its own; extra columns are ignored.
 """
@@ -29,7 +30,6 @@ from . import common as C
 
 ORDER = 4
 SAMPLE_DOCS = 400
-SAMPLE_BYTES = 1 << 16
 #: The posterior counts at most so many bytes of evidence, so that it does not saturate.
 EVIDENCE = 50
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double"
@@ -76,41 +76,71 @@ def grams_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def counted(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(order, kind, gram, times) over texts of a kind each, a very long text piece by piece."""
+    for a in range(0, len(data), C.CHUNK_BYTES):
+        b = min(len(data), a + C.CHUNK_BYTES)
+        before = max(0, a - ORDER)
+        grams = grams_of(data[before:b], np.clip(offsets, before, b) - before)[a - before :]
+        own = np.clip(offsets, a, b) - a
+        size = np.diff(own)
+        place = np.arange(a, b) - np.repeat(offsets[:-1], size)
+        of = np.repeat(kind, size).astype(np.uint64) << np.uint64(40)
+        for k in range(ORDER + 1):
+            full = place >= k
+            keys, times = np.unique(of[full] | (grams[full] & np.uint64((1 << (8 * (k + 1))) - 1)), return_counts=True)
+            yield k, (keys >> np.uint64(40)).astype(np.int64), keys & np.uint64((1 << 40) - 1), times
+
+
 def fit(texts: list[tuple[str, bytes]]) -> Model:
     """Freeze the context trees of (language, text) pairs."""
     langs = sorted({lang for lang, _ in texts})
-    tables: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(ORDER + 1)]
-    for lang in langs:
-        own = [t for x, t in texts if x == lang]
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in own])]).astype(np.int64)
-        grams = grams_of(np.frombuffer(b"".join(own), np.uint8), offsets)
-        place = np.arange(len(grams)) - np.repeat(offsets[:-1], np.diff(offsets))
-        for k in range(ORDER + 1):
-            tables[k].append(np.unique(grams[place >= k] & np.uint64((1 << (8 * (k + 1))) - 1), return_counts=True))
+    offsets = np.concatenate([[0], np.cumsum([len(t) for _, t in texts])]).astype(np.int64)
+    rows = counted(np.frombuffer(b"".join(t for _, t in texts), np.uint8), offsets, np.array([langs.index(x) for x, _ in texts], np.int64))
+    return freeze(langs, *(np.concatenate(x) for x in zip(*((np.full(len(g), k), of, g, n) for k, of, g, n in rows), strict=True)))
+
+
+def freeze(langs: list[str], order: np.ndarray, lang: np.ndarray, gram: np.ndarray, times: np.ndarray) -> Model:
+    """The code lengths that counts of grams, by order and place of the language, give; a gram may have several rows."""
     seen, escape = [], []
     for k in range(ORDER + 1):
-        grams = np.unique(np.concatenate([g for g, _ in tables[k]])) if langs else np.zeros(0, np.uint64)
-        contexts = np.unique(grams >> np.uint64(8))
+        at = order == k
+        grams, back = np.unique(gram[at], return_inverse=True)
+        contexts, of = np.unique(grams >> np.uint64(8), return_inverse=True)
         known = np.full((len(grams), len(langs)), np.nan, np.float32)
         costs = np.zeros((len(contexts), len(langs)), np.float32)
-        for j, (g, c) in enumerate(tables[k]):
-            at = np.searchsorted(contexts, g >> np.uint64(8))
-            n = np.bincount(at, c, len(contexts))
-            d = np.bincount(at, minlength=len(contexts))
-            known[np.searchsorted(grams, g), j] = np.log2((n + d)[at] / c)
+        for j in range(len(langs)):
+            own = lang[at] == j
+            c = np.bincount(back[own], times[at][own], len(grams))
+            n = np.bincount(of, c, len(contexts))
+            d = np.bincount(of[c > 0], minlength=len(contexts))
+            known[c > 0, j] = np.log2((n + d)[of[c > 0]] / c[c > 0])
             costs[d > 0, j] = np.log2((n + d)[d > 0] / d[d > 0])
         seen.append((grams, known))
         escape.append((contexts, costs))
     return Model(langs, seen, escape)
 
 
-def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Fit on the bounded sample of (doc_id, text, lang) rows."""
-    fit_for = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= sample_bytes))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = fit_for.select("doc_id", "lang").withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample_docs).select("doc_id").distinct()
-    rows = fit_for.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", F.col("text").cast("binary").alias("text")).toLocalIterator()
-    return fit([(r.lang, bytes(r.text)) for r in rows])
+    fit_for = C.stable(labelled).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text", F.monotonically_increasing_id().alias("row"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "row")
+    rows = fit_for.select("doc_id", "lang", "row").withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample_docs).select("row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = batch.column(0).dictionary_encode()
+            data, offsets = C.text_bytes(batch.column(1))
+            names, of = kinds.dictionary, np.asarray(kinds.indices)
+            for lo, hi, part, off in C.groups(data, offsets):
+                for k, own, grams, times in counted(part, off, of[lo:hi]):
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(own)), pa.array(np.full(len(own), k, np.int32)), pa.array(grams.view(np.int64)), pa.array(times)], ["lang", "k", "gram", "n"])
+
+    sample = fit_for.join(F.broadcast(rows), "row", "left_semi").select("lang", "text")
+    found = sample.mapInArrow(run, "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).toPandas()
+    langs = sorted(found.lang.unique())
+    place = {x: i for i, x in enumerate(langs)}
+    return freeze(langs, found.k.to_numpy(), found.lang.map(place).to_numpy(np.int64) if langs else np.zeros(0, np.int64), found.gram.to_numpy(np.int64).view(np.uint64), found.n.to_numpy(np.int64))
 
 
 class _Scorer:
