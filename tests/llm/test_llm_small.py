@@ -102,18 +102,20 @@ def test_top_k(spark):
 
 
 def classes(texts):
+    """Class and number of links of each text."""
     sets = []
     for t in texts:
         w = re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (t or "").lower())
         sets.append(Counter(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else Counter())
-    name = list(range(len(texts)))
+    name, links = list(range(len(texts))), [0] * len(texts)
     for i in range(len(texts)):
         for j in range(i):
             o = sum((sets[i] & sets[j]).values())
             if sets[i] and o >= 0.8 * (sum(sets[i].values()) + sum(sets[j].values()) - o):
+                links[i], links[j] = links[i] + 1, links[j] + 1
                 a, b = sorted((name[i], name[j]))
                 name = [a if x == b else x for x in name]
-    return name
+    return list(zip(name, links))
 
 
 def test_near_duplicates(spark):
@@ -127,11 +129,11 @@ def test_near_duplicates(spark):
         texts.append(" ".join(own))
     df = docs_of(spark, texts)
     for small, cluster in ((64, 4096), (4, 4096), (4, 40)):
-        found = {r.doc_id: r.class_id for r in minhash.find(df, small=small, cluster=cluster).collect()}
+        found = {r.doc_id: (r.class_id, r.n_links) for r in minhash.find(df, small=small, cluster=cluster).collect()}
         assert [found[i] for i in range(len(texts))] == classes(texts)
     df = df.withColumn("row_", F.lit(7))
     kept = minhash.dedup(df)
-    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(classes(texts))
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {c for c, _ in classes(texts)}
     assert minhash.find(df.where(F.lit(False))).count() == 0
 
 

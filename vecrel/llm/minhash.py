@@ -14,9 +14,10 @@ are candidates: at similarity 0.8 a pair is missed by all ``REGISTERS / ROWS`` b
 a probability of 5e-6.  Pairs from buckets of up to ``SMALL`` nodes are joined with their
 multisets.  Nodes of larger buckets form clusters, whose multisets are compared through
 an inverted index, each pair exactly; clusters beyond ``CLUSTER`` nodes are split into
-pairs of blocks.  A cluster returns a spanning forest of its links, so nothing
-quadratic is written, and no link between components is lost.  Classes are the connected
-components of the verified links.
+pairs of blocks.  A cluster returns a spanning forest of its links and how many each node
+has, so nothing quadratic is written, while every link is counted.  Classes are the
+connected components of the verified links.  ``n_links`` of a document is the number of
+other documents at ``similarity`` or more, copies included.
 
 Edge cases: texts that are null, empty or without a word are alone in their class.
 Repeated rows are copies of each other.  A class is named by its least doc_id.  Extra
@@ -151,8 +152,8 @@ def multisets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "node long, items array<long>")
 
 
-def spanning_links(nodes: np.ndarray, items: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> list[tuple[int, int, float]]:
-    """A spanning forest of the links between ``left`` and ``right`` members, found through an inverted index."""
+def spanning_links(items: list[np.ndarray], copies: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A spanning forest of the links between ``left`` and ``right`` members, found through an inverted index, and all links of each member, by copies."""
     size = np.array([len(x) for x in items])
     owner = np.repeat(np.arange(len(items)), size)
     _, item = np.unique(np.concatenate(items), return_inverse=True)
@@ -169,18 +170,24 @@ def spanning_links(nodes: np.ndarray, items: list[np.ndarray], left: np.ndarray,
         return x
 
     out = []
+    links = np.zeros(len(items), np.int64)
+    within = bool((left & right).all())
     for x in np.flatnonzero(left):
         own = item[first[x] : first[x + 1]]
         count = bounds[own + 1] - bounds[own]
         at = np.repeat(bounds[own] - np.cumsum(count) + count, count) + np.arange(count.sum())
         shared = np.bincount(posted[at], minlength=len(items))
         union = size[x] + size - shared
-        for y in np.flatnonzero(right & (shared >= similarity * union) & (np.arange(len(items)) != x)):
-            a, b = root(x), root(int(y))
+        near = np.flatnonzero(right & (shared >= similarity * union) & (np.arange(len(items)) != x))
+        links[x] += copies[near].sum()
+        if not within:  # blocks meet once, so the other side is counted here
+            links[near] += copies[x]
+        for y in near.tolist():
+            a, b = root(x), root(y)
             if a != b:
                 parent[a] = b
-                out.append((int(nodes[x]), int(nodes[y]), float(shared[y] / union[y])))
-    return out
+                out.append((int(x), y))
+    return out, links
 
 
 def _with_rows(docs: DataFrame) -> DataFrame:
@@ -188,7 +195,7 @@ def _with_rows(docs: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL, cluster: int = CLUSTER) -> DataFrame:
-    """(row, doc_id, class_id, n_links) for every document: its class, and the verified links kept at its node."""
+    """(row, doc_id, class_id, n_links) for every document: its class, and its number of verified links."""
     return _found(docs, similarity, small, cluster).drop("class_row")
 
 
@@ -198,46 +205,60 @@ def _found(docs: DataFrame, similarity: float, small: int = SMALL, cluster: int
     C.short_batches(spark)
     rows = _with_rows(C.stable(docs))
     prints = C.written(signed(rows), "bag-signatures")
-    nodes = C.written(prints.where("n > 0").groupBy("one", "two").agg(F.min("row").alias("node"), F.min("n").alias("n"), F.min_by("bands", "row").alias("bands")), "bag-nodes")
-    spread = nodes.select("node", "n", F.explode("bands").alias("band"))
+    nodes = C.written(prints.where("n > 0").groupBy("one", "two").agg(F.min("row").alias("node"), F.min("n").alias("n"), F.count("*").alias("copies"), F.min_by("bands", "row").alias("bands")), "bag-nodes")
+    spread = nodes.select("node", "n", "copies", F.explode("bands").alias("band"))
     crowded = spread.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     members = C.written(spread.join(crowded, "band"), "bag-members")
     # Pairs of small buckets: at most small * (small - 1) / 2 for a bucket.
-    listed = members.where(F.col("members") <= small).groupBy("band").agg(F.array_sort(F.collect_list(F.struct("n", "node"))).alias("nodes"))
+    listed = members.where(F.col("members") <= small).groupBy("band").agg(F.array_sort(F.collect_list(F.struct("n", "node", "copies"))).alias("nodes"))
     paired = listed.select(F.explode(F.expr(
-        f"flatten(transform(nodes, (x, i) -> filter(transform(slice(nodes, i + 2, {small}), y -> struct(x.node AS a, y.node AS b, x.n AS na, y.n AS nb)), z -> z.na >= {similarity} * z.nb)))"
+        f"flatten(transform(nodes, (x, i) -> filter(transform(slice(nodes, i + 2, {small}), y -> struct(x.node AS a, y.node AS b, x.n AS na, y.n AS nb, x.copies AS ca, y.copies AS cb)), z -> z.na >= {similarity} * z.nb)))"
     )).alias("p")).select("p.*").distinct()
-    pairs = C.written(paired, "bag-pairs")
     large = members.where(F.col("members") > small)
     stars = large.join(large.groupBy("band").agg(F.min("node").alias("hub")), "band").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     clusters = C.written(components(stars), "bag-clusters")
+    # Pairs within one cluster are compared there.
+    own = clusters.select("node", "component")
+    paired = paired.join(own.toDF("a", "in_a"), "a", "left").join(own.toDF("b", "in_b"), "b", "left")
+    pairs = C.written(paired.where(~F.coalesce(F.col("in_a") == F.col("in_b"), F.lit(False))).drop("in_a", "in_b"), "bag-pairs")
+    C.free(members)
     needed = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).union(clusters.select("node")).distinct()
     sets = C.written(multisets(rows.hint("merge").join(needed, "row").select(F.col("row").alias("node"), "text")), "bag-sets")
     near = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    near = near.select("a", "b", (shared / (F.col("na") + F.col("nb") - shared)).alias("similarity")).where(F.col("similarity") >= similarity)
-    links = C.written(near.unionByName(_within(clusters, sets, similarity, cluster)), "bag-links")
-    named = components(links)
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
-    nodes = nodes.select("one", "two", "node").join(named, "node", "left").join(degree, "node", "left").select("one", "two", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    near = near.where(shared >= similarity * (F.col("na") + F.col("nb") - shared)).select("a", "b", "ca", "cb")
+    links = C.written(near.unionByName(_within(clusters.join(nodes.select("node", "copies"), "node"), sets, similarity, cluster)), "bag-links")
+    C.free(pairs, sets)
+    named = components(links.where("b >= 0").select("a", "b"))
+    degree = links.select(F.col("a").alias("node"), F.col("cb").alias("links")).union(links.where("b >= 0").select("b", "ca")).groupBy("node").agg(F.sum("links").alias("n_links"))
+    nodes = nodes.select("one", "two", "node", "copies").join(named, "node", "left").join(degree, "node", "left")
+    nodes = nodes.select("one", "two", F.coalesce("component", "node").alias("component"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     placed = C.written(prints.select("row", "doc_id", "one", "two", F.col("n") > 0).toDF("row", "doc_id", "one", "two", "worded").join(nodes.withColumn("worded", F.lit(True)), ["one", "two", "worded"], "left"), "bag-placed")
     names = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("class_id"))
     return placed.join(names, "component", "left").select("row", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "row").alias("class_row"))
 
 
 def _within(clusters: DataFrame, sets: DataFrame, similarity: float, limit: int) -> DataFrame:
-    """Links within clusters, from pairs of blocks of about ``limit`` / 2 members (one block where that is enough)."""
+    """Links (a, b, ca, cb) within clusters (component, node, copies), from pairs of blocks of about ``limit`` / 2 members (one block where that is enough).
+
+    Links of the spanning forest carry 0 copies; rows with b = -1 tell all links of a as cb.
+    """
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size")).withColumn("blocks", F.when(F.col("size") <= limit, 1).otherwise(F.ceil(F.col("size") * 2 / limit)).cast("int"))
     placed = clusters.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = placed.select("component", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("component", "node", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = placed.select("component", "node", "copies", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("component", "node", "copies", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
-        left, right = (pdf.own == pdf.i).to_numpy(), (pdf.own == pdf.j).to_numpy()
-        found = spanning_links(pdf.node.to_numpy(), [np.asarray(x, np.int64) for x in pdf["items"]], left, right, similarity)
-        return pd.DataFrame(found, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
-
-    return dealt.join(sets, "node").groupBy("component", "i", "j").applyInPandas(compare, "a long, b long, similarity double")
+        nodes = pdf.node.to_numpy()
+        found, links = spanning_links([np.asarray(x, np.int64) for x in pdf["items"]], pdf.copies.to_numpy(np.int64), (pdf.own == pdf.i).to_numpy(), (pdf.own == pdf.j).to_numpy(), similarity)
+        some = np.flatnonzero(links)
+        at = np.array(found, np.int64).reshape(-1, 2)
+        none = np.zeros(len(at), np.int64)
+        rows = [np.concatenate(x) for x in ((nodes[at[:, 0]], nodes[some]), (nodes[at[:, 1]], np.full(len(some), -1)), (none, 0 * some), (none, links[some]))]
+        return pd.DataFrame(dict(zip(("a", "b", "ca", "cb"), rows, strict=True))).astype("int64")
+
+    return dealt.join(sets, "node").groupBy("component", "i", "j").applyInPandas(compare, "a long, b long, ca long, cb long")
 
 
 def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
