@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 from vecrel.plans import planner
 from vecrel.plans.dialect import rewrite
 from vecrel.plans.engine import Deleted, Engine, Inserted, Updated
+from vecrel.operators import knn
 from vecrel.sources.collection import Collection
+from vecrel.sources.keyed import Conflict
 from vecrel.sources.versions import recovery_stats, replay
 
 
@@ -46,6 +48,61 @@ def test_statements(spark, tmp_path):
     assert e.catalog.names() == []
 
 
+def test_writers(spark, tmp_path):
+    """A second engine reads what the first committed; of two writers of a key the first to commit wins."""
+    a, b = (Engine(spark, str(tmp_path)) for _ in range(2))
+    a.execute("CREATE TABLE t (id BIGINT PRIMARY KEY, v DOUBLE)")
+    a.execute("INSERT INTO t VALUES (1, 1.0), (2, 2.0), (3, 3.0)")
+    assert data(b.execute("SELECT id, v FROM t ORDER BY id")) == [(1, 1.0), (2, 2.0), (3, 3.0)]
+    for e in (a, b):
+        e.execute("BEGIN")
+    a.execute("UPDATE t SET v = v + 10 WHERE id = 1")
+    b.execute("DELETE FROM t WHERE id = 1")
+    b.execute("INSERT INTO t VALUES (4, 4.0)")
+    a.execute("COMMIT")
+    with pytest.raises(Conflict):
+        b.execute("COMMIT")
+    for e in (a, b):
+        e.execute("BEGIN")
+    a.execute("DELETE FROM t WHERE id = 2")
+    b.execute("UPDATE t SET v = 30 WHERE id = 3")
+    b.execute("INSERT INTO t VALUES (5, 5.0)")
+    a.execute("COMMIT")
+    b.execute("COMMIT")  # other keys: goes on top
+    for e in (a, b, Engine(spark, str(tmp_path))):
+        assert data(e.execute("SELECT id, v FROM t ORDER BY id")) == [(1, 11.0), (3, 30.0), (5, 5.0)]
+    for i in range(20):  # files are folded on the way
+        a.execute(f"UPDATE t SET v = {i}.5 WHERE id = 3")
+    assert len(a.catalog._table("t").parts) < 20 and data(b.execute("SELECT v FROM t WHERE id = 3")) == [(19.5,)]
+    assert b.execute("DELETE FROM t WHERE id = 2") == Deleted(0)
+
+
+def test_index_and_plans(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    e.execute("CREATE TABLE p (id BIGINT PRIMARY KEY, label INT, v VECTOR(2))")
+    spark.range(1200).selectExpr("id", "CAST(id % 10 AS INT) AS label", "array(CAST(id AS FLOAT), 0F) AS v").createOrReplaceTempView("p_rows")
+    e.execute("INSERT INTO p SELECT id, label, v FROM p_rows")
+    ask = "SELECT id FROM p {} ORDER BY v <-> '[600.2, 0]', id LIMIT 3"
+    assert e.execute(ask.format("")).plan == "sql"
+    e.execute("CREATE INDEX near ON p USING hnsw (v vector_l2_ops) WITH (m = 8, ef_construction = 32)")
+    found = Engine(spark, str(tmp_path)).execute(ask.format(""))
+    assert found.plan == "index" and data(found) == [(600,), (601,), (599,)]
+    e.execute("INSERT INTO p VALUES (5000, 1, '[600.1, 0]')")  # the index is left behind and rebuilt
+    assert data(e.execute(ask.format(""))) == [(5000,), (600,), (601,)]
+    assert e.execute("SELECT id FROM p ORDER BY v <=> '[1, 0]' LIMIT 3").plan == "sql"  # no index of that metric
+    for where, plan, ids in (("WHERE id = 7", "filter_first", [7]), ("WHERE label <> 0", "vector_first", [5000, 601, 599]), ("WHERE label IN (3)", "filter_first", [603, 593, 613])):
+        found = e.execute(ask.format(where))
+        assert (found.plan, [i for i, in data(found)]) == (plan, ids)
+    for sql, words in (("CREATE INDEX near ON p USING hnsw (v)", "exists"), ("CREATE INDEX x ON p USING hnsw (label)", "vector column"), ("CREATE INDEX x ON p USING hnsw (v) WITH (q = 1)", "unknown options"), ("DROP INDEX nope", "not found")):
+        with pytest.raises(ValueError, match=words):
+            e.execute(sql)
+    e.execute("DROP INDEX near")
+    assert e.execute(ask.format("")).plan == "sql"
+    rows = e.catalog.rows("p")
+    for few, k, ids in ((rows, 2, [5000, 600]), (rows.where("id < 50"), 2, [49, 48]), (rows, 0, []), (rows.where("id < 0"), 5, [])):
+        assert [r.id for r in knn.search(few, [600.1, 0.0], k, id_col="id", vector="v").collect()] == ids
+
+
 def test_dialect():
     assert rewrite("SELECT '<=>' /* a <-> b */ FROM t WHERE a <=> b").sql == "SELECT '<=>' /* a <-> b */ FROM t WHERE a <=> b"
     assert "zip_with" in rewrite("SELECT a <=> b FROM t", {"a"}).sql

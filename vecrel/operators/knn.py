@@ -81,12 +81,17 @@ def knn_hamming_rerank(df: DataFrame, query: list[float] | Column, k: int, at: l
     return top(kept, vf.l2(vector, query), k, id_col)
 
 
-def search(store_rows: DataFrame, query: list[float], k: int, has_index: bool, id_col: str = "vec_id") -> str:
-    """Which way a search goes: 'empty', 'index', 'rebuild' (over 100 rows without an index) or 'exact'."""
-    n = store_rows.select(id_col).limit(101).count()
-    if not n or not _k(k):
-        return "empty"
-    return "index" if has_index else "rebuild" if n > 100 else "exact"
+def search(rows: DataFrame, query: list[float], k: int, index=None, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """The k rows nearest to ``query`` with their distance: by the graph ``index``, by one built now where over 100 rows lack it, exactly where they are few."""
+    from .hnsw import Index
+
+    n = rows.select(id_col).limit(101).count() if _k(k) else 0
+    if not n or (index is None and n <= 100):
+        return knn(rows, query, k, id_col=id_col, vector=vector)
+    index = Index.build(rows, id_col=id_col, vector=vector) if index is None else index
+    asked = rows.sparkSession.createDataFrame([(0, [float(x) for x in query])], "query_id long, query array<float>")
+    found = index.search(asked, k).select(F.col("id").alias("found_id"), "distance")
+    return rows.join(F.broadcast(found), F.col(id_col) == F.col("found_id")).drop("found_id").orderBy("distance", id_col)  # k rows
 
 
 def recall(truth: DataFrame, hits: DataFrame, id_col: str = "vec_id") -> DataFrame:

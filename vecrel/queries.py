@@ -14,7 +14,9 @@ from .operators import hnsw, knn
 from .operators import relational as rel
 from .plans import planner
 from .plans.dialect import rewrite
+from .plans.engine import Engine
 from .sources import versions as vs
+from .sources.paths import scratch
 from .streaming import events as ev
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +47,17 @@ def asked(spark: SparkSession, sf: str, vec_id: int = 0) -> list[float]:
     return list(row[0])
 
 
+def engine(spark: SparkSession, sf: str, *tables: str) -> Engine:
+    """An engine over a new folder; the named tables are there as views ``<name>_rows``."""
+    for name in tables:
+        table(spark, sf, name).createOrReplaceTempView(f"{name}_rows")
+    return Engine(spark, scratch(spark, "engine"))
+
+
+def vector_text(v: list[float]) -> str:
+    return "'[" + ", ".join(repr(float(x)) for x in v) + "]'"
+
+
 def r6(c: Column) -> Column:
     return F.round(c, 6)
 
@@ -115,9 +128,33 @@ def key_range_half_open(spark, sf):
     return table(spark, sf, "orders").where("o_orderkey >= 100 AND o_orderkey < 200").select("o_orderkey")
 
 
-@query("SELECT id, value FROM (VALUES (1::BIGINT, 'a'), (2, 'b'), (3, NULL)) t(id, value)")
+@query("SELECT n_nationkey::BIGINT AS id, n_name AS value FROM nation UNION ALL SELECT * FROM (VALUES (1000::BIGINT, 'O''Brien'), (1001, ''), (1002, NULL)) t(id, value)")
 def insert_values(spark, sf):
-    return spark.sql("SELECT CAST(col1 AS BIGINT) AS id, col2 AS value FROM VALUES (1, 'a'), (2, 'b'), (3, NULL)")
+    e = engine(spark, sf, "nation")
+    e.execute("CREATE TABLE names (id BIGINT PRIMARY KEY, value TEXT)")
+    e.execute("INSERT INTO names SELECT n_nationkey, n_name FROM nation_rows")
+    e.execute("INSERT INTO names VALUES (1000, 'O''Brien'), (1001, ''), (1002, NULL)")
+    return e.execute("SELECT id, value FROM names").data
+
+
+@query("""SELECT c_custkey::BIGINT AS id, CASE c_custkey WHEN 3 THEN 'changed' ELSE c_name END AS name, CASE c_custkey WHEN 3 THEN c_acctbal + 1 WHEN 8 THEN 0.5 ELSE c_acctbal END AS balance
+    FROM customer WHERE c_custkey NOT IN (5, 7) UNION ALL SELECT 7::BIGINT, 'again', NULL""")
+def engine_changes(spark, sf):
+    """UPDATE, DELETE, INSERT after DELETE, and a transaction that is rolled back, read by a second engine over the same folder."""
+    e = engine(spark, sf, "customer")
+    e.execute("CREATE TABLE accounts (id BIGINT PRIMARY KEY, name TEXT, balance DOUBLE)")
+    e.execute("INSERT INTO accounts SELECT c_custkey, c_name, c_acctbal FROM customer_rows")
+    e.execute("UPDATE accounts SET name = 'changed', balance = balance + 1 WHERE id = 3")
+    e.execute("DELETE FROM accounts WHERE id = 5")
+    e.execute("DELETE FROM accounts WHERE id = 7")
+    e.execute("BEGIN")
+    e.execute("DELETE FROM accounts WHERE id = 9")
+    e.execute("ROLLBACK")
+    e.execute("BEGIN")
+    e.execute("INSERT INTO accounts (id, name) VALUES (7, 'again')")
+    e.execute("UPDATE accounts SET balance = $1 WHERE id = 8", [0.5])
+    e.execute("COMMIT")
+    return Engine(spark, e.catalog.root).execute("SELECT id, name, balance FROM accounts").data
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'O'")
@@ -235,9 +272,9 @@ def project_alias_arithmetic(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum(F.col("l_quantity") * F.col("l_extendedprice")), 2).alias("revenue"))
 
 
-@query("SELECT 1 AS one, 'text' AS word, 'O''Brien' AS name, ('' IS NULL) AS empty_is_null")
+@query("SELECT r_name, 1 AS one, 'text' AS word, 'O''Brien' AS name, ('' IS NULL) AS empty_is_null FROM region")
 def select_literals(spark, sf):
-    return spark.sql("SELECT 1 AS one, 'text' AS word, 'O''Brien' AS name, ('' IS NULL) AS empty_is_null")
+    return engine(spark, sf, "region").execute("SELECT r_name, 1 AS one, 'text' AS word, 'O''Brien' AS name, '' IS NULL AS empty_is_null FROM region_rows").data
 
 
 @query("SELECT p_partkey FROM part WHERE p_brand = 'Brand#11'")
@@ -380,9 +417,9 @@ def pearson(spark, sf):
     return rel.correlation(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice").select(r6(F.col("r")).alias("r"))
 
 
-@query()
+@query("SELECT quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events")
 def latency_percentiles(spark, sf):
-    return rel.latency_percentiles(table(spark, sf, "events"), "value")
+    return rel.latency_percentiles(table(spark, sf, "events"), "value", accuracy=None)
 
 
 # Vector functions
@@ -416,10 +453,11 @@ def vec_normalize(spark, sf):
     return emb(spark, sf).select("vec_id", F.round(F.aggregate(u, F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
-@query("SELECT '[1.0, 2.5]' AS s, 2::INTEGER AS dims, 3.5::DOUBLE AS total UNION ALL SELECT ' [4] ', 1, 4.0 UNION ALL SELECT '[]', 0, 0.0")
+@query("SELECT vec_id, len(embedding)::INTEGER AS dims, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total, true AS same FROM embeddings")
 def vec_parse(spark, sf):
     v = vf.parse("s")
-    return spark.createDataFrame([("[1.0, 2.5]",), (" [4] ",), ("[]",)], "s string").select("s", F.size(v).alias("dims"), F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("total"))
+    parsed = emb(spark, sf).select("vec_id", "embedding", vf.format_vector("embedding").alias("s")).select("vec_id", "embedding", v.alias("v"))
+    return parsed.select("vec_id", F.size("v").alias("dims"), r6(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).alias("total"), (F.col("v") == F.col("embedding")).alias("same"))
 
 
 @query()
@@ -577,7 +615,10 @@ def quant_reconstruct(spark, sf):
     return emb(spark, sf).select("vec_id", F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
-@query()
+@query(f"""WITH g AS (SELECT i, (0.5 + 1.5 * i / 11.0)::FLOAT AS s FROM range(12) t(i)),
+    e AS (SELECT vec_id, i, s, list_sum(list_transform(embedding, lambda x: pow(x::DOUBLE - (least(greatest(round(x * s * 15::FLOAT), 0), 15)::FLOAT / 15::FLOAT / s)::DOUBLE, 2))) AS error FROM embeddings, g),
+    r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY error, i) AS nth FROM e)
+    SELECT vec_id, s AS scale, 4::TINYINT AS bits, 64::INTEGER AS dimensions, 64::INTEGER AS n_levels FROM r WHERE nth = 1""")
 def quantize_best_scale(spark, sf):
     q = qz.quantize("embedding", qz.Params.preset(4))
     return emb(spark, sf).select("vec_id", q.alias("q")).select("vec_id", "q.scale", "q.bits", "q.dimensions", F.size("q.levels").alias("n_levels"))
@@ -604,16 +645,17 @@ def quant_error(spark, sf):
     return emb(spark, sf).select("vec_id", F.round(qz.squared_error("embedding", q, 1.0, 16), 5).alias("error"))
 
 
-@query()
+@query("SELECT vec_id, 16::INTEGER AS bytes_2, 32::INTEGER AS bytes_4, 64::INTEGER AS bytes_8, true AS same_2, true AS same_4, true AS same_8 FROM embeddings")
 def quant_pack_round_trip(spark, sf):
     q = emb(spark, sf).select("vec_id", *(qz.levels("embedding", 1.0, 2**b).alias(f"q{b}") for b in (2, 4, 8)))
     packed = q.select("*", *(vf.pack_levels(f"q{b}", b).alias(f"p{b}") for b in (2, 4, 8)))
     return packed.select("vec_id", *(F.length(f"p{b}").alias(f"bytes_{b}") for b in (2, 4, 8)), *((vf.unpack_levels(f"p{b}", b, 64) == F.col(f"q{b}")).alias(f"same_{b}") for b in (2, 4, 8)))
 
 
-@query("SELECT i::INTEGER AS at, round(0.5 + 1.5 * i / 11.0, 6)::DOUBLE AS scale FROM range(12) t(i)")
+@query("SELECT n_name, round(0.5 + 1.5 * n_nationkey / 24.0, 6)::DOUBLE AS scale FROM nation")
 def quant_scale_grid(spark, sf):
-    return spark.createDataFrame(list(enumerate(qz.scale_grid(0.5, 2.0, 12))), "at int, scale double").select("at", r6(F.col("scale")).alias("scale"))
+    grid = F.array(*[F.lit(x) for x in qz.scale_grid(0.5, 2.0, 25)])
+    return table(spark, sf, "nation").select("n_name", r6(F.get(grid, F.col("n_nationkey"))).alias("scale"))
 
 
 @query("SELECT vec_id, round(64 * 4 / (CASE b WHEN 2 THEN 16 WHEN 4 THEN 32 ELSE 64 END + 5), 6) AS ratio, b AS bits, (CASE b WHEN 2 THEN 16 WHEN 4 THEN 32 ELSE 64 END)::INTEGER AS n_bytes FROM embeddings, (VALUES (2), (4), (8)) t(b)")
@@ -661,15 +703,28 @@ def memory_stats(spark, sf):
 # Plans, dialect, streams
 
 
-@query("""SELECT * FROM (VALUES ('pk =', 0.001::DOUBLE, 'filter_first'), ('pk range', 0.1, 'filter_first'), ('other =', 0.01, 'filter_first'), ('none', 1.0, 'vector_first')) t(predicate, share, strategy)""")
-def plan_strategies(spark, sf):
-    rows = [("pk =", planner.selectivity("id", "=", "id", 1000)), ("pk range", planner.selectivity("id", ">", "id", 1000)), ("other =", planner.selectivity("x", "=", "id", 1000)), ("none", planner.selectivity("x", "like", "id", 1000))]
-    return spark.createDataFrame([(p, s, planner.strategy(s)[0]) for p, s in rows], "predicate string, share double, strategy string")
+_PLANNED = (("pk =", "vec_id = 5", "filter_first"), ("label range", "label >= 2 AND label < 6", "filter_first"), ("most rows", "label <> 3", "vector_first"), ("none", "", "sql"))
 
 
-@query("SELECT * FROM (VALUES (10, 150), (50, 200), (200, 250)) t(k, expansion)")
+@query(" UNION ALL ".join(
+    f"(SELECT '{name}' AS predicate, '{plan}' AS strategy, e.vec_id, e.label FROM embeddings e WHERE {where or 'true'} ORDER BY {_l2('e.embedding', Q0)}, e.vec_id LIMIT 10)" for name, where, plan in _PLANNED
+))
+def plan_strategies(spark, sf):
+    """Nearest-neighbour statements that the engine plans and runs: the way it went and what it found."""
+    e = engine(spark, sf, "embeddings")
+    e.execute("CREATE TABLE items (vec_id BIGINT PRIMARY KEY, label INT, embedding VECTOR(64))")
+    e.execute("INSERT INTO items SELECT vec_id, label, embedding FROM embeddings_rows")
+    near, out = vector_text(asked(spark, sf)), None
+    for name, where, _ in _PLANNED:
+        done = e.execute(f"SELECT vec_id, label FROM items {'WHERE ' + where if where else ''} ORDER BY embedding <-> {near}, vec_id LIMIT 10")
+        own = spark.createDataFrame(done.data.collect(), done.data.schema).select(F.lit(name).alias("predicate"), F.lit(done.plan).alias("strategy"), "vec_id", "label")  # at most ten rows
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query("SELECT c_nationkey, count(*) AS k, (CASE WHEN count(*) <= 10 THEN 150 WHEN count(*) <= 100 THEN 200 ELSE 250 END)::INTEGER AS expansion FROM customer GROUP BY c_nationkey")
 def plan_expansion(spark, sf):
-    return spark.createDataFrame([(k, planner.expansion(k)) for k in (10, 50, 200)], "k int, expansion int")
+    return table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("k")).select("c_nationkey", "k", planner.expansion(F.col("k")).alias("expansion"))
 
 
 @query(f"SELECT vec_id FROM embeddings e WHERE label = 1 ORDER BY {_l2('e.embedding', Q0)}, vec_id LIMIT 5")
