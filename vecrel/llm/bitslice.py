@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BLOCK_ROWS = 1 << 16
-BLOCK_QUERIES, LANE = 128, 32
+BLOCK_QUERIES, LANE = 128, 4
 _LOW = (1 << 62) - 1
 
 
