@@ -333,6 +333,19 @@ def test_shards(spark, tmp_path):
     assert all(r["count"] < store.fanout for r in tiers)
 
 
+def test_loading_shards(spark, tmp_path):
+    """Any table is loaded whole and once: many files, one file, or a part of a file."""
+    rows = spark.range(400).selectExpr("id AS doc_id", "repeat(concat('x', id), 50) AS text")
+    rows.repartition(7).write.parquet(str(tmp_path / "many"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    for name, where, n in (("many", "true", 400), ("one", "true", 400), ("many", "doc_id < 10", 10), ("one", "doc_id < 10", 10), ("one", "doc_id < 0", 0)):
+        table = spark.read.parquet(str(tmp_path / name))
+        store = sharding.ShardStore(spark, str(tmp_path / f"s-{name}-{n}"), target_bytes=20_000)
+        sharding.load(store, table if where == "true" else table.where(where), 3)
+        found = store.read()
+        assert sorted(r.doc_id for r in found.collect()) == list(range(n)) if n else found is None
+
+
 def test_pieces(spark):
     import sentencepiece
 

@@ -25,6 +25,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common as C
+
 TARGET_BYTES = 128 << 20
 FANOUT = 4
 TIERS = 4
@@ -100,11 +102,12 @@ class ShardStore:
         return manifest.withColumn("tier", F.when(F.col("bytes") >= self.target // 2, TIERS).otherwise(F.least(tier, F.lit(TIERS - 1))).cast("int"))
 
     def compact(self) -> int:
-        """Merge tiers that hold ``fanout`` shards or more until none does; the version reached."""
+        """Merge tiers that hold ``fanout`` shards or more until none does, but those whose sizes do not pack; the version reached."""
+        stuck: set[int] = set()
         while True:
             base = self.version()
             tiers = self._tiered(self.manifest(base))
-            full = tiers.where(F.col("tier") < TIERS).groupBy("tier").agg(F.count("*").alias("n")).where(F.col("n") >= self.fanout).orderBy("tier").first()
+            full = tiers.where((F.col("tier") < TIERS) & ~F.col("tier").isin(*stuck)).groupBy("tier").agg(F.count("*").alias("n")).where(F.col("n") >= self.fanout).orderBy("tier").first()
             if full is None:
                 return base
             old = tiers.where(F.col("tier") == full.tier)
@@ -112,8 +115,10 @@ class ShardStore:
             path = f"{self.root}/data/{uuid.uuid4().hex}"
             self._merge([r.path for r in old.select("path").collect()], path, size)
             new = self._shards(path, base + 1)
-            if new.count() >= full.n:
-                return base  # nothing gained: sizes do not pack
+            if new.count() >= full.n:  # nothing gained
+                stuck.add(full.tier)
+                self._fs(path).delete(self._path(path), True)
+                continue
             self.publish(tiers.where(F.col("tier") != full.tier).drop("tier").unionByName(new), base)
 
     def _merge(self, paths: list[str], path: str, size: int) -> None:
@@ -128,24 +133,27 @@ class ShardStore:
             for k, v in held.items():
                 self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
 
-    def vacuum(self) -> None:
-        """Delete shards and manifests that the latest version does not name."""
+    def vacuum(self, versions: int = 2) -> None:
+        """Delete shards and manifests that none of the latest ``versions`` names, so that readers of those go on."""
         fs, latest = self._fs(self.root), self.version()
         if not latest:
             return
-        kept = {r.path.rsplit("/", 1)[-1]: r.path.rsplit("/", 2)[-2] for r in self.manifest(latest).select("path").collect()}
-        name = self.spark.read.text(f"{self.root}/versions/{latest:010d}").first()[0]
+        known = [v for v in range(max(1, latest - versions + 1), latest + 1) if fs.exists(self._path(f"{self.root}/versions/{v:010d}"))]
+        paths = {r.path for v in known for r in self.manifest(v).select("path").collect()}
+        kept = {x.rsplit("/", 1)[-1] for x in paths}
+        folders = {x.rsplit("/", 2)[-2] for x in paths}
+        names = {self.spark.read.text(f"{self.root}/versions/{v:010d}").first()[0] for v in known}
         for folder in fs.listStatus(self._path(f"{self.root}/data")):
             at = folder.getPath()
-            if at.getName() not in set(kept.values()):
+            if at.getName() not in folders:
                 fs.delete(at, True)
                 continue
             for file in fs.listStatus(at):
                 if file.getPath().getName().endswith(".parquet") and file.getPath().getName() not in kept:
                     fs.delete(file.getPath(), False)
-        for folder, keep in (("manifests", name), ("versions", f"{latest:010d}")):
+        for folder, keep in (("manifests", names), ("versions", {f"{v:010d}" for v in known})):
             for x in fs.listStatus(self._path(f"{self.root}/{folder}")):
-                if x.getPath().getName() != keep:
+                if x.getPath().getName() not in keep:
                     fs.delete(x.getPath(), True)
 
     def read(self, version: int | None = None) -> DataFrame | None:
@@ -155,9 +163,17 @@ class ShardStore:
 
 
 def load(store: ShardStore, table: DataFrame, arrivals: int = 4) -> None:
-    """Append a table in as many arrivals, by its files, compacting and clearing up after each."""
-    files = sorted(table.inputFiles())
-    for k in range(min(arrivals, len(files))):
-        store.append(store.spark.read.schema(table.schema).parquet(*files[k::arrivals]))
+    """Append the rows of a table in as many arrivals, compacting and clearing up after each.
+
+    A bare scan of enough files arrives file by file; any other table is dealt by row.
+    """
+    plan = table._jdf.queryExecution().optimizedPlan()
+    files = sorted(table.inputFiles()) if plan.nodeName().startswith("LogicalRelation") or plan.toString().startswith("Relation") else []
+    whole = None if len(files) >= arrivals else C.stable(table)
+    for k in range(arrivals):
+        if whole is None:
+            store.append(store.spark.read.schema(table.schema).parquet(*files[k::arrivals]))
+        else:
+            store.append(whole.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(arrivals)) == k))
         store.compact()
-        store.vacuum()
+        store.vacuum(1)  # nobody else reads while the table is loaded
