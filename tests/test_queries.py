@@ -61,7 +61,7 @@ def test_plans(spark):
 def test_conflicts_of_all_events(spark, duck):
     """The whole write set against brute force, with conflicts beyond the first 1,000 events."""
     larger = SF.replace("sf0.001", "sf0.01")  # the smallest table ends before event 1,000
-    found = {(r.key, r.winner, r.loser) for r in Q.mvcc_conflicts_all(spark, larger).collect()}
+    found = {(r.key, r.winner, r.loser) for r in Q.mvcc_conflicts(spark, larger).collect()}
     by_key = {}
     for event, user in duck.sql(f"SELECT event_id, user_id FROM '{larger}/events.parquet'").fetchall():
         by_key.setdefault(user, []).append(event)
@@ -75,7 +75,7 @@ def test_searches_ask_every_hundredth_row(spark, duck):
     ids, vectors = table.vec_id.to_numpy(), np.stack(table.embedding.to_list()).astype(np.float64)
     asked = {int(i) for i in ids if i % 100 == 0}
     found = {}
-    for r in Q.knn_batch_join_all(spark, SF).collect():
+    for r in Q.knn_batch_join(spark, SF).collect():
         found.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
     assert set(found) == asked
     for q, own in found.items():

@@ -236,15 +236,9 @@ def mvcc_read_own_writes(spark, sf):
     return vs.visible(_versions(spark, sf).unionByName(own), txn=1_000_000, snapshot=500).select("key", "begin_ts", "value")
 
 
-@query("""WITH w AS (SELECT event_id AS txn_id, user_id AS key, event_id AS start_ts, event_id + 40 AS commit_ts FROM events WHERE event_id < 1000)
+@query("""WITH w AS (SELECT event_id AS txn_id, user_id AS key, event_id AS start_ts, event_id + 40 AS commit_ts FROM events)
     SELECT DISTINCT a.key, a.txn_id AS winner, b.txn_id AS loser FROM w a JOIN w b ON a.key = b.key AND a.commit_ts < b.commit_ts AND a.commit_ts > b.start_ts""")
 def mvcc_conflicts(spark, sf):
-    e = table(spark, sf, "events").where("event_id < 1000")
-    return vs.conflicts(e.select(F.col("event_id").alias("txn_id"), F.col("user_id").alias("key"), F.col("event_id").alias("start_ts"), (F.col("event_id") + 40).alias("commit_ts")))
-
-
-@query()
-def mvcc_conflicts_all(spark, sf):
     e = table(spark, sf, "events")
     return vs.conflicts(e.select(F.col("event_id").alias("txn_id"), F.col("user_id").alias("key"), F.col("event_id").alias("start_ts"), (F.col("event_id") + 40).alias("commit_ts")))
 
@@ -503,22 +497,16 @@ def knn_k_zero(spark, sf):
     return _hits(knn.knn(emb(spark, sf), asked(spark, sf), 0))
 
 
-@query(f"""WITH d AS (SELECT q.vec_id AS query_id, e.vec_id, {_l2('e.embedding', 'q.embedding')} AS d FROM embeddings q JOIN embeddings e ON true WHERE q.vec_id < 20),
+@query(f"""WITH d AS (SELECT q.vec_id AS query_id, e.vec_id, {_l2('e.embedding', 'q.embedding')} AS d FROM embeddings q JOIN embeddings e ON true WHERE q.vec_id % 100 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id)::INTEGER AS rank FROM d) SELECT query_id, vec_id, round(d, 6) AS distance, rank FROM r WHERE rank <= 5""")
 def knn_batch_join(spark, sf):
-    queries = emb(spark, sf).where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return knn.knn_join(queries, emb(spark, sf), 5).select("query_id", "vec_id", r6(F.col("distance")).alias("distance"), "rank")
+    return knn.knn_join(_every_hundredth(spark, sf), emb(spark, sf), 5).select("query_id", "vec_id", r6(F.col("distance")).alias("distance"), "rank")
 
 
 def _every_hundredth(spark, sf):
     return emb(spark, sf).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
-@query()
-def knn_batch_join_all(spark, sf):
-    return knn.knn_join(_every_hundredth(spark, sf), emb(spark, sf), 5).select("query_id", "vec_id", r6(F.col("distance")).alias("distance"), "rank")
-
-
 def _parts(spark, sf):
     return emb(spark, sf).join(table(spark, sf, "part"), F.col("vec_id") == F.col("p_partkey"))
 
