@@ -306,6 +306,74 @@ def test_quality(spark):
     assert quality.score(df.where(F.lit(False)), one).count() == 0
 
 
+def plain_features(b):
+    """The features of one text, counted one by one."""
+    sets = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b".", b",", b"!?", b"#$%&*@^~+=<>", b"|\\/_-", b"\"'`()[]{}:;", b"\n", bytes(range(128, 256))]
+    share = [sum(x in own for x in b) / max(1, len(b)) for own in sets]
+
+    def of(found):
+        sizes, c = [len(x) for x in found], max(1, len(found))
+        times = Counter(x.lower() for x in found)
+        return len(found), len(times) / c, max(times.values(), default=0) / c, sum(sizes) / c, float(np.std(sizes)) if sizes else 0.0
+
+    words, kinds, top, mean, spread = of(re.findall(rb"[^\x20\x09-\x0d]+", b))
+    lines, line_kinds, line_top, line_mean, _ = of(re.findall(rb"[^\n]+", b))
+    marks = share[6] + share[5]
+    grown = math.log1p(kinds * words) / max(math.log1p(words), 1e-9)
+    return [
+        *share, share[0] / max(share[0] + share[1], 1e-9), marks, math.log1p(len(b)), math.log1p(words), math.log1p(lines), kinds, grown, top, mean, min(spread, 50),
+        line_kinds, line_top, math.log1p(line_mean), float(not b), float(words < 8),
+    ]
+
+
+def test_quality_against_plain_form(spark):
+    """Features one by one, weights at the least loss of the pairs, the cut at its quantile, scores by the formula."""
+    rng = random.Random(21)
+    marks = ["", ".", ",", "!", " #", "\n", "\n\n", " 12", "Ü", " (x)"]
+    texts = ["", " \n ", "Same same SAME", *("".join(text(rng, rng.randint(1, 9)) + rng.choice(marks) for _ in range(rng.randint(1, 12))) for _ in range(150))]
+    raw = [t.encode() for t in texts]
+    x = np.array([plain_features(b) for b in raw])
+    offsets = np.concatenate([[0], np.cumsum([len(b) for b in raw])]).astype(np.int64)
+    assert np.allclose(quality.features(np.frombuffer(b"".join(raw), np.uint8), offsets), x, atol=1e-9)
+    label = np.array([int(rng.random() < (0.9 if "." in t else 0.4)) for t in texts])
+    share = label.mean()
+    model = quality.fit(x, label, share)
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, np.maximum(x.std(0), 1e-6))
+    z = np.clip((x - x.mean(0)) / np.maximum(x.std(0), 1e-6), -4, 4)
+    z = np.concatenate([z, abs(z)], axis=1)
+    draw = np.random.default_rng(7)
+    d = z[draw.choice(np.flatnonzero(label == 1), quality.PAIRS)] - z[draw.choice(np.flatnonzero(label == 0), quality.PAIRS)]
+
+    def loss(w):
+        return np.logaddexp(0, -(d @ w)).mean() + quality.RIDGE / 2 * (w @ w)
+
+    least = loss(model.weights)
+    for _ in range(60):
+        step = draw.normal(size=len(model.weights)) * 0.03
+        assert loss(model.weights + step) > least
+    worth = z @ model.weights
+    assert (worth < model.cut).mean() <= 1 - share + 1e-9 <= (worth <= model.cut).mean() + 2e-9
+    df = docs_of(spark, texts).withColumn("held_out", F.lit(False))
+    got = {r.doc_id: r for r in quality.score(df, model).collect()}
+    odds = np.exp(worth - model.cut) * quality.CUT / (1 - quality.CUT)
+    assert np.allclose([got[i].score for i in range(len(texts))], odds / (1 + odds), atol=1e-9)
+
+
+def test_least_hashes(spark):
+    """The sample is that of ranking every row, with repeated and null ids and groups smaller than it."""
+    rows = [(None if i % 97 == 0 else i // 2, ["a", "b", "c"][0 if i < 2500 else 1 + (i == 2900)], i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, kind string, place long").withColumn("h", F.xxhash64("doc_id"))
+    every = df.collect()
+    for most in (1, 40, 5000):
+        want = []
+        for kind in "abc":
+            own = sorted((r for r in every if r.kind == kind), key=lambda r: (r.h, -1 if r.doc_id is None else r.doc_id, r.place))
+            want += [(kind, r.place) for r in own[:most]]
+        got = common.least_hashes(df, "kind", most, ["doc_id", "place"])
+        assert got.columns == df.columns and sorted((r.kind, r.place) for r in got.collect()) == sorted(want)
+    assert common.least_hashes(df.where(F.lit(False)), "kind", 3, ["place"]).count() == 0
+
+
 def test_shards(spark, tmp_path):
     store = sharding.ShardStore(spark, str(tmp_path / "s"), target_bytes=200_000)
     assert store.read() is None and store.version() == 0

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
@@ -90,6 +90,25 @@ def having(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataF
     return rows.join(few, on, "left_semi").unionByName(rows.join(few, on, "left_anti").join(keys.where(~hot).select(*on), on, "left_semi"))
 
 
+#: Hashes of ids fall into 2 ** RANGE_BITS ranges.
+RANGE_BITS = 10
+
+
+def least_hashes(rows: DataFrame, group: str, most: int, ties: list[str]) -> DataFrame:
+    """The ``most`` rows of each ``group`` (not null; few values) whose doc_id has the least hash, then the least ``ties``.
+
+    A histogram of the hashes tells in which range the last of them lies; rows of later
+    ranges are never ranked, so no group's rows gather in one task.
+    """
+    hashed = rows.withColumn("hash_", F.xxhash64("doc_id")).withColumn("range_", F.shiftright("hash_", 64 - RANGE_BITS))
+    sizes = hashed.groupBy(group, "range_").agg(F.count("*").alias("size_"))
+    up_to = Window.partitionBy(group).orderBy("range_")
+    last = sizes.withColumn("before_", F.sum("size_").over(up_to) - F.col("size_")).where(F.col("before_") < most).groupBy(group).agg(F.max("range_").alias("last_"))
+    near = hashed.join(F.broadcast(last), group).where(F.col("range_") <= F.col("last_"))
+    ranked = near.withColumn("at_", F.row_number().over(Window.partitionBy(group).orderBy("hash_", *ties)))
+    return ranked.where(F.col("at_") <= most).select(rows.columns)
+
+
 def stable(docs: DataFrame) -> DataFrame:
     """``docs``, written first unless it is a plain scan.
 

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -124,8 +124,7 @@ def freeze(langs: list[str], order: np.ndarray, lang: np.ndarray, gram: np.ndarr
 def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Fit on the bounded sample of (doc_id, text, lang) rows."""
     fit_for = C.stable(labelled).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text", F.monotonically_increasing_id().alias("row"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "row")
-    rows = fit_for.select("doc_id", "lang", "row").withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample_docs).select("row")
+    rows = C.least_hashes(fit_for.select("doc_id", "lang", "row"), "lang", sample_docs, ["doc_id", "row"]).select("row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
