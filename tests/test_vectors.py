@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -90,3 +91,57 @@ def test_index_saves_and_loads(spark, tmp_path):
     assert again.search(queries, 1000).count() == 60 and again.search(queries, 0).count() == 0
     with pytest.raises(ValueError, match="dimension mismatch"):
         hnsw.Index.load(spark, str(tmp_path / "i"), 3)
+
+
+def plain_distance(metric, q, v):
+    """Summed one by one in doubles."""
+    def dot(a, b):
+        total = 0.0
+        for x, y in zip(a, b):
+            total += x * y
+        return total
+
+    if metric == "l2":
+        d = [x - y for x, y in zip(v, q)]
+        return math.sqrt(dot(d, d))
+    if metric == "ip":
+        return -dot(v, q)
+    size = math.sqrt(dot(v, v)) * math.sqrt(dot(q, q))
+    return 1.0 if size == 0 else 1 - dot(v, q) / size
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "ip"])
+def test_joined_search(spark, metric):
+    """Against every pair: ties, repeated and null vectors, zero vectors, far and close ones, queries in blocks, hot copies."""
+    rng = np.random.default_rng(5)
+    vectors = [*rng.normal(size=(300, 6)), *np.repeat(rng.normal(size=(1, 6)), 200, 0), np.zeros(6), *(1e4 + rng.normal(size=(40, 6)) * 1e-6)]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame([*rows, (900, None)], "vec_id long, embedding array<float>").repartition(5)
+    asked = df.where("vec_id % 9 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    want = {}
+    for i, q in rows[::9]:
+        near = sorted((plain_distance(metric, q, v), j) for j, v in rows)[:7]
+        want |= {(i, at + 1): (j, d) for at, (d, j) in enumerate(near)}
+    for size in (knn.QUERY_BYTES, 6 * 8 * 20):
+        got = {(r.query_id, r["rank"]): (r.vec_id, r.distance) for r in knn.knn_join(asked, df, 7, metric, query_bytes=size).collect()}
+        assert got == want
+    assert knn.knn_join(asked, df, 0, metric).count() == knn.knn_join(asked.where(F.lit(False)), df, 3, metric).count() == knn.knn_join(asked, df.where(F.lit(False)), 3, metric).count() == 0
+    assert knn.knn_join(asked, df.limit(3), 7, metric).groupBy("query_id").count().where("count > 3").count() == 0
+    with pytest.raises(Exception, match="dimension mismatch"):
+        knn.knn_join(asked, spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>"), 2, metric).collect()
+
+
+def test_thresholds(spark):
+    """Medians against the sorted values: odd and even counts, one hot value, null and infinite components."""
+    rng = random.Random(3)
+    for n in (1, 2, 501, 700):
+        rows = [[rng.gauss(0, 1), 5.0, rng.choice([0.0, 0.0, 1.0, 1e6]), rng.choice([None, 1.0, 2.0]), rng.choice([float("inf"), float("-inf"), 1.5])] for _ in range(n)]
+        rows[0][3] = 1.0
+        df = spark.createDataFrame([(r,) for r in rows], "embedding array<double>").repartition(4)
+        want = df.select(F.posexplode("embedding").alias("pos", "v")).groupBy("pos").agg(F.median("v").alias("m")).collect()
+        got = {r.pos: r.threshold for r in qz.thresholds(df).collect()}
+        assert len(got) == 5 and all(got[r.pos] == pytest.approx(r.m, nan_ok=True) for r in want)
+    with pytest.raises(ValueError, match="no vectors"):
+        qz.thresholds(df.where(F.lit(False)))
+    with pytest.raises(ValueError, match="dimension mismatch"):
+        qz.thresholds(df.unionByName(spark.createDataFrame([([1.0],)], "embedding array<double>")))

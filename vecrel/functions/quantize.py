@@ -10,9 +10,10 @@ dimension's threshold, its median over the training rows.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .vectors import col, cosine, inner_product, l2
@@ -116,14 +117,46 @@ def compression_ratio(dims: Column | int, bits: int) -> Column:
     return n * 4 / (packed_bytes(n, bits) + 5)
 
 
+#: Values of a dimension fall into so many ranges of equal width.
+RANGES = 1024
+
+
 def thresholds(df: DataFrame, column: str = "embedding") -> DataFrame:
-    """(pos, threshold): the median of each dimension; vectors must agree in length."""
-    sizes = df.where(F.col(column).isNotNull()).agg(F.min(F.size(column)).alias("lo"), F.max(F.size(column)).alias("hi")).first()
-    if sizes.lo is None:
+    """(pos, threshold): the exact median of each dimension; vectors must agree in length.
+
+    A histogram tells in which ranges the middle values of a dimension lie; only values of
+    those are ranked, so no task holds all values of a dimension.
+    """
+    values = df.where(F.col(column).isNotNull()).select(F.posexplode_outer(column).alias("pos", "v")).withColumn("v", F.col("v").cast("double"))
+    fine = F.when(F.abs("v") < float("inf"), F.col("v"))
+    edges = values.groupBy("pos").agg(F.min(fine).alias("lo"), F.max(fine).alias("hi"), F.count("*").alias("rows"), F.count("v").alias("n")).orderBy("pos").collect()  # a row a dimension
+    if not edges:
         raise ValueError("no vectors to train thresholds on")
-    if sizes.lo != sizes.hi:
-        raise ValueError(f"dimension mismatch: {sizes.lo} and {sizes.hi}")
-    return df.select(F.posexplode(column).alias("pos", "v")).groupBy("pos").agg(F.median("v").alias("threshold"))
+    if len({e.rows for e in edges}) > 1 or (edges[0].pos is None and len(edges) > 1):
+        raise ValueError(f"dimension mismatch: vectors of at most {edges[-1].pos + 1} dimensions")
+    if edges[0].pos is None:
+        return values.where(F.lit(False)).select("pos", F.col("v").alias("threshold"))
+    lo, hi = _constant([e.lo or 0.0 for e in edges], "double"), _constant([e.hi or 0.0 for e in edges], "double")
+    share = F.when(hi > lo, (F.col("v") - lo) / (hi - lo)).otherwise(0.0)
+    place = F.when(F.isnan("v") | (F.col("v") == float("inf")), RANGES + 1).when(F.col("v") == float("-inf"), -1).otherwise(F.floor(share * RANGES).cast("int"))
+    placed = values.where("v IS NOT NULL").select("pos", "v", place.alias("range"))
+    # Ranks of the middle values, from 0; one and the same for an odd number.
+    n = _constant([e.n for e in edges], "long")
+    lower, upper = F.floor((n - 1) / 2), F.floor(n / 2)
+    counts = placed.groupBy("pos", "range").agg(F.count("*").alias("size"))
+    up_to = Window.partitionBy("pos").orderBy("range")
+    counts = counts.withColumn("before", F.sum("size").over(up_to) - F.col("size")).where((F.col("before") <= upper) & (F.col("before") + F.col("size") > lower))
+    middle = {r.pos: r for r in counts.groupBy("pos").agg(F.min("range").alias("first"), F.max("range").alias("last"), F.min("before").alias("before")).collect()}  # a row a dimension
+    first, last, before = (_constant([middle[e.pos][x] if e.pos in middle else 0 for e in edges], "long") for x in ("first", "last", "before"))
+    ranked = placed.where((F.col("range") >= first) & (F.col("range") <= last)).withColumn("at", before + F.row_number().over(Window.partitionBy("pos").orderBy("v")) - 1)
+    found = ranked.groupBy("pos").agg(F.avg(F.when((F.col("at") == lower) | (F.col("at") == upper), F.col("v"))).alias("threshold"))
+    none = [e.pos for e in edges if not e.n]
+    return found.unionByName(df.sparkSession.createDataFrame([(x, None) for x in none], "pos int, threshold double")) if none else found
+
+
+def _constant(values: list, kind: str) -> Column:
+    """The value of the row's ``pos``, from a constant of the plan."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")[F.col("pos")]
 
 
 def threshold_list(df: DataFrame, column: str = "embedding") -> list[float]:

@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import is_finite
-from .knn import QUERY_BLOCK
 
+#: Queries that are gathered and sent to the shards at a time.
+QUERY_BLOCK = 4096
 FORMAT, VERSION = "small-world-graph", 1
 NODES = "shard int, node int, id long, level int, neighbors array<array<int>>, vector array<float>"
 
