@@ -1,13 +1,17 @@
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
+from vecrel.functions import quantize as qz
 from vecrel.plans import planner
 from vecrel.plans.dialect import rewrite
 from vecrel.plans.engine import Deleted, Engine, Inserted, Updated
-from vecrel.operators import knn
+from vecrel.operators import hnsw, knn
 from vecrel.sources.collection import Collection
 from vecrel.sources.keyed import Conflict
 from vecrel.sources.versions import recovery_stats, replay
+from vecrel.streaming import events
 
 
 def data(found):
@@ -96,6 +100,8 @@ def test_index_and_plans(spark, tmp_path):
     for sql, words in (("CREATE INDEX near ON p USING hnsw (v)", "exists"), ("CREATE INDEX x ON p USING hnsw (label)", "vector column"), ("CREATE INDEX x ON p USING hnsw (v) WITH (q = 1)", "unknown options"), ("DROP INDEX nope", "not found")):
         with pytest.raises(ValueError, match=words):
             e.execute(sql)
+    shutil.rmtree(e.catalog._table("p").indexes["near"]["path"])  # lost files are built again
+    assert e.execute(ask.format("")).plan == "index" and data(e.execute(ask.format(""))) == [(5000,), (600,), (601,)]
     e.execute("DROP INDEX near")
     assert e.execute(ask.format("")).plan == "sql"
     rows = e.catalog.rows("p")
@@ -103,6 +109,56 @@ def test_index_and_plans(spark, tmp_path):
         assert [r.id for r in knn.search(few, [600.1, 0.0], k, id_col="id", vector="v").collect()] == ids
 
 
+def test_answers(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    assert e.answer("CREATE TABLE t (id BIGINT PRIMARY KEY, name TEXT)")[0] == 200
+    assert e.answer("INSERT INTO t VALUES (1, 'a'), (2, NULL)") == (200, {"rows_affected": 2})
+    assert e.answer("SELECT id, name FROM t WHERE id >= $1 ORDER BY id", [1]) == (200, {"columns": ["id", "name"], "rows": [[1, "a"], [2, None]]})
+    for bad in ("SELECT * FROM nowhere", "SELEC", "", "DELETE FROM t", "INSERT INTO t VALUES (1, 'again')"):
+        status, body = e.answer(bad)
+        assert status == 400 and list(body) == ["error"] and body["error"], bad
+
+
+def test_collection_index(spark, tmp_path):
+    c = Collection(spark, str(tmp_path / "c"), 2)
+    assert c.rebuild_index() is None and c.index() is None
+    batch = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(60)], "ordinal long, embedding array<float>")
+    c.insert_batch(batch)
+    asked = spark.createDataFrame([(0, [30.2, 1.0])], "query_id long, query array<float>")
+
+    def near(x):
+        return [r.id for r in x.search(asked, 2).orderBy("rank").collect()]
+
+    assert near(c.rebuild_index(hnsw.Params(m=4, ef_construction=20), qz.Params.preset(4))) == [30, 31]
+    assert spark.read.parquet(str(tmp_path / "c" / "quantized")).count() == 60
+    c.insert([30.3, 1.0])  # left behind: built again with its own parameters
+    assert near(c.index()) == [60, 30] and c.index().params.m == 4
+    c.save_to(str(tmp_path / "d"))
+    d = Collection.load_from(spark, str(tmp_path / "d"), 2)[0]
+    assert near(d.index()) == [60, 30]
+    shutil.rmtree(tmp_path / "d" / "index")
+    assert near(d.index()) == [60, 30] and hnsw.Index.saved(spark, str(tmp_path / "d" / "index"))
+
+
+def test_stream_of_late_rows(spark, tmp_path):
+    """A window that ended 10 minutes before the newest row is final: later rows for it are left out, and nothing comes twice."""
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, "ts string, event_type string, value double").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "event_type", "value").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(str(tmp_path / "in"))
+        events.append_to(events.windowed(stream), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        found = spark.read.parquet(str(tmp_path / "out"))
+        return sorted((r.start.hour, r.event_type, r.n, r.total) for r in found.collect())
+
+    arrive(("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:20:00", "a", 2.0), ("2024-01-01 01:30:00", "b", 3.0))
+    assert run() == [(0, "a", 2, 3.0)]
+    arrive(("2024-01-01 00:50:00", "a", 9.0), ("2024-01-01 01:40:00", "b", 4.0), ("2024-01-01 03:00:00", "c", 5.0))
+    assert run() == [(0, "a", 2, 3.0), (1, "b", 2, 7.0)]
+    assert run() == [(0, "a", 2, 3.0), (1, "b", 2, 7.0)]
+
+
 def test_dialect():
     assert rewrite("SELECT '<=>' /* a <-> b */ FROM t WHERE a <=> b").sql == "SELECT '<=>' /* a <-> b */ FROM t WHERE a <=> b"
     assert "zip_with" in rewrite("SELECT a <=> b FROM t", {"a"}).sql

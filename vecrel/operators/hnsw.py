@@ -225,6 +225,12 @@ class Index:
         about = json.dumps({"format": FORMAT, "version": VERSION, "dims": self.dims, "params": asdict(self.params)})
         self.nodes.sparkSession.createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
+    @staticmethod
+    def saved(spark: SparkSession, path: str) -> bool:
+        """Whether a whole index is there: its description is written last."""
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/about/_SUCCESS")
+        return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at))
+
     @classmethod
     def load(cls, spark: SparkSession, path: str, dims: int | None = None) -> Index:
         about = json.loads(spark.read.text(f"{path}/about").first()[0])

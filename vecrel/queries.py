@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -164,7 +163,7 @@ def parameters_positional(spark, sf):
     return spark.sql(sql, {"p1": 100000, "p2": "O"})
 
 
-@query()
+@query("SELECT vec_id, (8 + 4 * len(embedding))::INTEGER AS n_bytes, true AS same FROM embeddings")
 def vector_binary_round_trip(spark, sf):
     return emb(spark, sf).select("vec_id", vf.to_binary("embedding").alias("b"), "embedding").select("vec_id", F.length("b").alias("n_bytes"), (vf.from_binary("b") == F.col("embedding")).alias("same"))
 
@@ -620,6 +619,19 @@ def quant_l2(spark, sf):
     return emb(spark, sf).select("vec_id", rec.alias("a")).crossJoin(F.broadcast(one)).select("vec_id", F.round(vf.l2("a", "b"), 4).alias("distance"))
 
 
+_RECONSTRUCTED = f"SELECT vec_id, list_transform({_levels_sql(1.25, 4)}, lambda x: (x::FLOAT / 15::FLOAT / 1.25::FLOAT)::FLOAT) AS r FROM embeddings"
+
+
+@query(f"""WITH q AS ({_RECONSTRUCTED}) SELECT a.vec_id, round({_l2('a.r', 'b.r')}, 4) AS l2, round({_cos('a.r', 'b.r')}, 4) AS cosine, round(-{_dot('a.r', 'b.r')}, 4) AS ip
+    FROM q a JOIN q b ON b.vec_id = 0""")
+def quant_distances(spark, sf):
+    """All distances of the reconstructions to that of vector 0, a constant of the plan."""
+    params = qz.Params(4, 1)  # one scale, 1.25
+    own, one = qz.quantize("embedding", params), qz.quantize(vf.literal(asked(spark, sf)), params)
+    q = emb(spark, sf).select("vec_id", own.alias("q"))
+    return q.select("vec_id", *(F.round(qz.quantized_distance(m, "q", one, params), 4).alias(m) for m in ("l2", "cosine", "ip")))
+
+
 @query(f"""WITH q AS (SELECT vec_id, {_levels_sql(1.0, 4)} AS r FROM embeddings) SELECT a.vec_id, round({_l2('a.r', 'b.r')}, 6) AS distance FROM q a JOIN q b ON b.vec_id = 0""")
 def quant_approximate(spark, sf):
     q = F.struct(qz.levels("embedding", 1.0, 16).alias("levels"))
@@ -653,7 +665,12 @@ def quant_compression(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query()
+@query(f"""WITH g AS (SELECT i, (0.5 + 1.5 * i / 11.0)::FLOAT AS s FROM range(12) t(i)),
+    e AS (SELECT vec_id, i, s, list_sum(list_transform(embedding, lambda x: pow(x::DOUBLE - (least(greatest(round(x * s * 15::FLOAT), 0), 15)::FLOAT / 15::FLOAT / s)::DOUBLE, 2))) AS error FROM embeddings, g),
+    r AS (SELECT vec_id, s, row_number() OVER (PARTITION BY vec_id ORDER BY error, i) AS nth FROM e),
+    b AS (SELECT vec_id, embedding, list_transform(embedding, lambda x: (least(greatest(round(x * s * 15::FLOAT), 0), 15)::FLOAT / 15::FLOAT / s)::FLOAT) AS rec FROM r JOIN embeddings USING (vec_id) WHERE nth = 1),
+    c AS (SELECT b.vec_id, b.embedding, q.embedding AS near FROM b JOIN b q ON q.vec_id = 0 ORDER BY {_l2('b.rec', 'q.rec')}, b.vec_id LIMIT 30)
+    SELECT vec_id, round({_l2('embedding', 'near')}, 6) AS distance FROM c ORDER BY {_l2('embedding', 'near')}, vec_id LIMIT 10""")
 def knn_two_phase(spark, sf):
     return _hits(knn.knn_two_phase(emb(spark, sf), asked(spark, sf), 10, qz.Params.preset(4)))
 
@@ -730,15 +747,16 @@ def events_windowed(spark, sf):
     return found.select(F.col("start").cast("timestamp").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
-@query()
+@query("""SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2
+    HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
 def events_streamed(spark, sf):
-    """The same windows from a stream over the file, run to its end."""
+    """The windows that are final, from a stream over the file run to its end into a table."""
     source = table(spark, sf, "events")
-    name = f"events_{uuid.uuid4().hex}"
+    path = scratch(spark, "events")
     stream = spark.readStream.schema(source.schema).parquet(f"{sf}/events.parquet*")
-    q = ev.windowed(stream).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    ev.append_to(ev.windowed(stream), f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    found = spark.read.schema(ev.windowed(source).schema).parquet(f"{path}/table")
+    return found.select("start", "event_type", "n", F.round("total", 2).alias("total"))
 
 
 def explain(df: DataFrame) -> str:

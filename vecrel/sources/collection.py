@@ -1,7 +1,8 @@
 """A vector collection on Parquet: validated inserts, scans, save and load.
 
 Ids are insertion ordinals.  A batch is checked as a whole before anything is written.
-Files are sorted by id within each, so point and range lookups skip row groups.
+Files are sorted by id within each, so point and range lookups skip row groups.  The graph
+index lies beside the vectors and is rebuilt from them where it is missing or behind.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quantize as qz
 from ..functions.vectors import is_finite
+from ..operators import hnsw
 
 SCHEMA = "vec_id long, embedding array<float>"
 
@@ -77,12 +79,34 @@ class Collection:
         fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(staged), True)
         return first, before
 
+    def rebuild_index(self, params: hnsw.Params = hnsw.Params(), quantizer: qz.Params | None = None) -> hnsw.Index | None:
+        """Build the graph anew from the stored vectors and, with ``quantizer``, their quantized form; None while there are no vectors."""
+        rows = self.rows()
+        if not rows.limit(1).count():
+            return None
+        hnsw.Index.build(rows, params).save(f"{self.path}/index")
+        if quantizer:
+            self._quantize(self.path, quantizer)
+        return hnsw.Index.load(self.spark, f"{self.path}/index", self.dims)
+
+    def index(self) -> hnsw.Index | None:
+        """The stored index; rebuilt where it is missing, or, with its own parameters, where vectors were added since."""
+        if not hnsw.Index.saved(self.spark, f"{self.path}/index"):
+            return self.rebuild_index()
+        held = hnsw.Index.load(self.spark, f"{self.path}/index", self.dims)
+        return held if held.nodes.count() == self.rows().count() else self.rebuild_index(held.params)
+
+    def _quantize(self, path: str, params: qz.Params) -> None:
+        self.rows().select("vec_id", qz.quantize("embedding", params).alias("q")).write.mode("overwrite").parquet(f"{path}/quantized")
+
     def save_to(self, path: str, params: qz.Params | None = None) -> None:
-        """Vectors, with ``params`` also their quantized form, and a note of dimension and parameters."""
+        """Vectors and their index if there is one, with ``params`` also their quantized form, and a note of dimension and parameters."""
         rows = self.rows()
         rows.write.mode("overwrite").parquet(f"{path}/vectors")
         if params:
-            rows.select("vec_id", qz.quantize("embedding", params).alias("q")).write.mode("overwrite").parquet(f"{path}/quantized")
+            self._quantize(path, params)
+        if hnsw.Index.saved(self.spark, f"{self.path}/index"):
+            self.index().save(f"{path}/index")
         about = {"dims": self.dims, "quantizer": vars(params) if params else None}
         self.spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 

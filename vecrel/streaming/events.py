@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def windowed(events: DataFrame, ts: str = "ts", key: str = "event_type", value: str = "value", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Count and sum of each key and window; rows later than ``late`` are left out once a window is final."""
+    """Count and sum of each key and window; of a stream, windows come once they ended ``late`` before the newest row, and rows for them are left out from then on."""
     events = events.withColumn(ts, F.col(ts).cast("timestamp"))  # watermarks need a time zone
     rows = events.withWatermark(ts, late) if events.isStreaming else events
     grouped = rows.groupBy(F.window(ts, width).alias("w"), key)
