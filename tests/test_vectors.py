@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vecrel.functions import quantize as qz
 from vecrel.functions import vectors as vf
+from vecrel.functions.pca import PCA
 from vecrel.operators import hnsw, knn
 
 
@@ -145,3 +146,22 @@ def test_thresholds(spark):
         qz.thresholds(df.where(F.lit(False)))
     with pytest.raises(ValueError, match="dimension mismatch"):
         qz.thresholds(df.unionByName(spark.createDataFrame([([1.0],)], "embedding array<double>")))
+
+
+def test_pca(spark):
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(300, 6)) * [5, 3, 2, 1, 0.5, 0.1] @ rng.normal(size=(6, 6)) + 7).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    found = PCA.train(df, 3)
+    centred = x.astype(np.float64) - x.astype(np.float64).mean(0)
+    _, s, vt = np.linalg.svd(centred, full_matrices=False)
+    np.testing.assert_allclose(found.variances, (s**2 / 299)[:3], rtol=1e-9)
+    assert abs(found.explained - (s**2)[:3].sum() / (s**2).sum()) < 1e-9
+    vt *= np.where(np.take_along_axis(vt, np.abs(vt).argmax(1)[:, None], 1) < 0, -1, 1)
+    got = {r.vec_id: r.p for r in df.select("vec_id", found.project("embedding").alias("p")).collect()}
+    assert got.pop(300) is None
+    np.testing.assert_allclose([got[i] for i in range(300)], centred @ vt[:3].T, atol=1e-6)
+    for bad, k, words in ((df, 7, "1 to 6"), (df.where("vec_id = 0"), 1, "two vectors"), (df.unionByName(spark.createDataFrame([(9, [1.0])], df.schema)), 1, "dimension mismatch")):
+        with pytest.raises(ValueError, match=words):
+            PCA.train(bad, k)

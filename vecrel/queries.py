@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import quantize as qz
 from .functions import vectors as vf
+from .functions.pca import PCA
 from .operators import hnsw, knn
 from .operators import relational as rel
 from .plans import planner
@@ -700,6 +701,21 @@ def hamming_topn_rerank(spark, sf):
     return _hits(knn.knn_hamming_rerank(emb(spark, sf), asked(spark, sf), 10, [0.0] * 64))
 
 
+@query("SELECT round(sum(v), 6) AS variance, round(sum(v), 6) AS along FROM (SELECT var_samp(embedding[i]::DOUBLE) AS v FROM embeddings, range(1, 65) t(i) GROUP BY i)")
+def pca_variance(spark, sf):
+    """All components together hold the variance of all dimensions, also when measured on the projections."""
+    e = emb(spark, sf)
+    found = PCA.train(e, 64)
+    along = e.select(F.posexplode(found.project("embedding")).alias("pos", "x")).groupBy("pos").agg(F.var_samp("x").alias("v"))
+    return along.agg(F.round(F.lit(found.total), 6).alias("variance"), r6(F.sum("v")).alias("along"))
+
+
+@query()
+def pca_project(spark, sf):
+    e = emb(spark, sf)
+    return e.select("vec_id", F.transform(PCA.train(e, 8).project("embedding"), r6).alias("projected"))
+
+
 @query("SELECT count(*) AS vectors, sum(len(embedding) * 4)::BIGINT AS bytes FROM embeddings")
 def memory_stats(spark, sf):
     return emb(spark, sf).agg(F.count("*").alias("vectors"), F.sum(F.size("embedding") * 4).alias("bytes"))
