@@ -434,6 +434,32 @@ def test_pieces(spark):
     assert pieces.encode(df.where(F.lit(False))).count() == 0
 
 
+def test_driver_gets_packed_tables(spark, monkeypatch):
+    """Words and grams come to the driver as rows of many each, and hold what the tables hold."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    if not __import__("os").path.exists(pieces.MODEL):
+        pytest.skip("no model file")
+    rng = random.Random(17)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(80)) for _ in range(40)]
+    df = docs_of(spark, texts).withColumn("lang", F.lit("en"))
+    coded = common.written(pieces.lattice(pieces.count_words(df, pieces.load()).select("word"), pieces.load()), "coded")
+    want = {r.word: r.ids for r in coded.collect()}
+    sizes, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "toPandas", lambda self: pytest.fail("a row of the driver for each word or gram"))
+    monkeypatch.setattr(DataFrame, "collect", lambda self: sizes.append(len(rows := collect(self))) or rows)
+    shared = pieces._shared_words(df, pieces.load(), 50_000).value
+    model = langid.train(df)
+    assert len(want) > 2500 and len(model.seen[4][0]) > 2500 and max(sizes) < 100
+    _, keys, flat, counts = shared
+    ends = np.cumsum(counts)
+    got = {h: flat[e - n : e].tolist() for h, n, e in zip(keys.tolist(), counts.tolist(), ends.tolist(), strict=True)}
+    assert got == dict(zip(pieces.hashed(list(want)).tolist(), want.values(), strict=True))
+    assert np.array_equal(keys, np.sort(keys))
+    plain = langid.fit([("en", t.encode()) for t in texts])
+    assert all(np.array_equal(a, b, equal_nan=True) for x, y in zip(model.seen + model.escape, plain.seen + plain.escape, strict=True) for a, b in zip(x, y, strict=True))
+
+
 def test_chat(spark):
     assert chat.parse(None) == [] and chat.parse("User: hi there?\nAssistant: hello\nmore") == [("user", "hi there?"), ("assistant", "hello\nmore")]
     assert [r for r, _ in chat.parse("Kim: can you help?\nLee: yes, of course.\nKim: great, how?")] == ["user", "assistant", "user"]

@@ -135,11 +135,24 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
                 for k, own, grams, times in counted(part, off, of[lo:hi]):
                     yield pa.RecordBatch.from_arrays([names.take(pa.array(own)), pa.array(np.full(len(own), k, np.int32)), pa.array(grams.view(np.int64)), pa.array(times)], ["lang", "k", "gram", "n"])
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = batch.column(0).dictionary_encode()
+            of = np.asarray(kinds.indices).astype(np.int64) * (ORDER + 1) + np.asarray(batch.column(1))
+            order = np.argsort(of, kind="stable")
+            groups, first = np.unique(of[order], return_index=True)
+            grams, times = (np.split(np.asarray(batch.column(i))[order], first[1:]) for i in (2, 3))
+            own = [kinds.dictionary[int(x)].as_py() for x in groups // (ORDER + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array((groups % (ORDER + 1)).astype(np.int32)), *(pa.array([x.tobytes() for x in part][: len(own)], pa.binary()) for part in (grams, times))], ["lang", "k", "grams", "times"])
+
     sample = fit_for.join(F.broadcast(rows), "row", "left_semi").select("lang", "text")
-    found = sample.mapInArrow(run, "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(found.lang.unique())
-    place = {x: i for i, x in enumerate(langs)}
-    return freeze(langs, found.k.to_numpy(), found.lang.map(place).to_numpy(np.int64) if langs else np.zeros(0, np.int64), found.gram.to_numpy(np.int64).view(np.uint64), found.n.to_numpy(np.int64))
+    counts = sample.mapInArrow(run, "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
+    # A row holds many grams, so that the driver has no objects for each.
+    found = counts.mapInArrow(packed, "lang string, k int, grams binary, times binary").collect()
+    langs = sorted({r.lang for r in found})
+    sizes = [len(r.grams) // 8 for r in found]
+    order, lang = (np.repeat(np.array(x, np.int64), sizes) for x in ([r.k for r in found], [langs.index(r.lang) for r in found]))
+    return freeze(langs, order, lang, np.frombuffer(b"".join(r.grams for r in found), np.uint64), np.frombuffer(b"".join(r.times for r in found), np.int64))
 
 
 class _Scorer:

@@ -382,13 +382,25 @@ def _shared_words(docs: DataFrame, pieces: Pieces, table_words: int):
     counted = C.written(count_words(docs, pieces), "piece-words")
     words = C.written(frequent(counted, table_words), "piece-frequent")
     coded = C.written(lattice(words, pieces), "piece-lattice")
-    table = coded.toPandas()
+    table = packed(coded)
     C.free(counted, words, coded)
-    keys = hashed(table.word.tolist())
+    return docs.sparkSession.sparkContext.broadcast((pieces, *table))
+
+
+def packed(coded: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of the words of (word, ids), their ids in a row and how many each has; tasks pack them, so that the driver has no objects for each word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column(1).flatten().to_numpy().astype(np.int32)
+            sizes = batch.column(1).value_lengths().to_numpy().astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (hashed(batch.column(0).to_pylist()), flat, sizes)], ["keys", "flat", "sizes"])
+
+    rows = coded.select("word", "ids").mapInArrow(run, "keys binary, flat binary, sizes binary").collect()
+    keys, flat, sizes = (np.frombuffer(b"".join(r[i] for r in rows), kind) for i, kind in enumerate((np.uint64, np.int32, np.int64)))
     by = np.argsort(keys)
-    own = [table.ids.iloc[i] for i in by.tolist()]
-    flat = np.concatenate([*own, np.zeros(0, np.int32)]).astype(np.int32)
-    return docs.sparkSession.sparkContext.broadcast((pieces, keys[by], flat, np.array([len(x) for x in own], np.int64)))
+    first, own = (np.cumsum(sizes) - sizes)[by], sizes[by]
+    return keys[by], flat[np.repeat(first - np.cumsum(own) + own, own) + np.arange(len(flat))], own
 
 
 def encode(docs: DataFrame, path: str = MODEL, table_words: int = TABLE_WORDS) -> DataFrame:
