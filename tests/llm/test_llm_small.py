@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -359,6 +360,40 @@ def test_quality_against_plain_form(spark):
     assert np.allclose([got[i].score for i in range(len(texts))], odds / (1 + odds), atol=1e-9)
 
 
+def test_quality_learns_from_every_label(spark):
+    """In one block the model is that of all rows in memory; in several every row counts, in the cut as well."""
+    rng = random.Random(22)
+    texts = [text(rng, rng.randint(1, 30)) + rng.choice(["", ".", "!", " # 12", "\n"]) for _ in range(300)]
+    label = [int(rng.random() < (0.9 if "." in t else 0.5)) for t in texts]
+    df = docs_of(spark, texts).withColumn("held_out", F.lit(False))
+    labels = spark.createDataFrame(list(enumerate(label)), "doc_id long, quality int")
+    x = np.array([plain_features(t.encode()) for t in texts])
+    share = np.mean(label)
+    for block in (8000, 50):
+        model = quality.train(df, labels, block)
+        assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, np.maximum(x.std(0), 1e-6)) and model.weights.any()
+        worth = model.shape(x) @ model.weights
+        assert (worth < model.cut - 1e-9).mean() <= 1 - share + 1e-9 <= (worth <= model.cut + 1e-9).mean() + 2e-9
+    # A label of two documents is set against every block of the other.
+    seen = []
+    batches = [pa.RecordBatch.from_arrays([pa.array([1] * 40, pa.int32()), pa.array([[float(i)]] * 40)], ["label", "x"]) for i in range(5)]
+    for own, rows in quality._blocks(iter(batches), 50, [(np.zeros(2, np.int32), np.full((2, 1), -1.0))]):
+        assert (own == 0).sum() == 2 and (rows[own == 0] == -1).all()
+        seen += rows[own == 1, 0].tolist()
+    assert sorted(seen) == sorted([float(i) for i in range(5)] * 40)
+    two = quality.train(df, spark.createDataFrame([(i, int(i > 1)) for i in range(300)], "doc_id long, quality int"), 50)
+    assert two.weights.any() and (two.shape(x[2:]) @ two.weights).mean() > (two.shape(x[:2]) @ two.weights).mean()
+    # Documents beyond 4,000 of a label count in the means.
+    many = spark.range(9000).select(F.col("id").alias("doc_id"), F.expr("CASE WHEN id % 2 = 1 THEN 'one two' ELSE 'ONE TWO' END").alias("text"))
+    every = quality.train(many, many.select("doc_id", F.expr("int(doc_id % 2)").alias("quality")))
+    upper = list(quality._CLASSES).index("upper")
+    assert every.mean[upper] == pytest.approx(6 / 7 / 2, abs=1e-9)
+    odd = many.withColumn("text", F.when(F.xxhash64("doc_id") > 0, F.concat("text", F.lit(" 777"))).otherwise(F.col("text")))
+    digit = list(quality._CLASSES).index("digit")
+    want = np.mean([3 / 11 if r.h > 0 else 0 for r in many.select(F.xxhash64("doc_id").alias("h")).collect()])
+    assert quality.train(odd, many.select("doc_id", F.expr("int(doc_id % 2)").alias("quality"))).mean[digit] == pytest.approx(want, abs=1e-9)
+
+
 def test_least_hashes(spark):
     """The sample is that of ranking every row, with repeated and null ids and groups smaller than it."""
     rows = [(None if i % 97 == 0 else i // 2, ["a", "b", "c"][0 if i < 2500 else 1 + (i == 2900)], i) for i in range(3000)]
