@@ -270,6 +270,36 @@ def test_language_model(spark):
     assert lm.train_and_score(nothing).count() == 0
 
 
+def test_network_by_definition():
+    """Probabilities and the gradient steps against a form with one row at a time; contexts that fill several chunks, and no rows."""
+    draw = np.random.default_rng(5)
+    size = lm.WORDS + lm.CLASSES
+    noise = draw.random(size) + 0.1
+    noise /= noise.sum()
+    state = lm.begun(noise, 3)
+    parts = lm.taken_apart(state[0])
+    model = lm.Model(1, 1, np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int), np.zeros(1 << 16, int), np.ones(lm.CLASSES), **parts)
+    units, contexts = draw.integers(0, size, 3000), draw.integers(0, size, (3000, lm.CONTEXT))
+    contexts[::3] = contexts[0]
+    peaks = []
+    exp = np.exp
+    lm.np.exp = lambda x, *a, **k: peaks.append(x.size) or exp(x, *a, **k)
+    try:
+        got = model.log_probs(units, contexts)
+    finally:
+        lm.np.exp = exp
+    hidden = sum(parts["vectors"][contexts[:, j]].astype(float) * parts["mixing"][j] for j in range(lm.CONTEXT))
+    logits = hidden @ parts["outputs"].T.astype(float) + parts["bias"]
+    want = logits[np.arange(3000), units] - np.log(exp(logits).sum(1))
+    assert np.allclose(got, want, atol=1e-4) and max(peaks) <= 512 * size
+    assert len(model.log_probs(units[:0], contexts[:0])) == 0
+    values, rows = draw.normal(size=(40, lm.SIZE)).astype(np.float32), draw.integers(0, 30, 120)
+    plain = np.zeros((30, lm.SIZE))
+    for i, r in enumerate(rows):
+        plain[r] += values[i % 40]
+    assert np.allclose(lm.added(rows, values, 30), plain, atol=1e-5)
+
+
 def test_rows_without_own_ids(spark):
     """Rows whose ids are null or repeat are judged by their texts, in near-dedup and in decontamination."""
     rng = random.Random(13)

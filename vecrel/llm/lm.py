@@ -132,19 +132,25 @@ class Model:
         code = np.zeros(len(units), np.int64)
         for j in range(CONTEXT):
             code = code * (WORDS + CLASSES) + contexts[:, j]
-        _, at, back = np.unique(code, return_index=True, return_inverse=True)
         out = np.empty(len(units), np.float64)
-        order = np.argsort(back, kind="stable")
-        bounds = np.searchsorted(back[order], np.arange(len(at) + 1))
-        for lo in range(0, len(at), 8192):
-            hi = min(lo + 8192, len(at))
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        fresh = np.ones(len(code), bool)
+        fresh[1:] = code[1:] != code[:-1]
+        bounds = np.append(np.flatnonzero(fresh), len(code))
+        at, back = order[bounds[:-1]], np.cumsum(fresh) - 1  # a row of each context, the context of each row in order
+        placed = [self.vectors * self.mixing[j] for j in range(CONTEXT)]  # the vectors as they count in each place
+        for lo in range(0, len(at), 512):  # the logits of so many contexts stay in the cache
+            hi = min(lo + 512, len(at))
             own = contexts[at[lo:hi]]
-            hidden = sum(self.vectors[own[:, j]] * self.mixing[j] for j in range(CONTEXT))
-            logits = hidden @ self.outputs.T + self.bias
-            top = logits.max(axis=1, keepdims=True)
-            norm = np.log(np.exp(logits - top).sum(axis=1)) + top[:, 0]
+            logits = sum(placed[j].take(own[:, j], axis=0) for j in range(CONTEXT)) @ self.outputs.T
+            logits += self.bias
             rows = order[bounds[lo] : bounds[hi]]
-            out[rows] = logits[back[rows] - lo, units[rows]] - norm[back[rows] - lo]
+            of = back[bounds[lo] : bounds[hi]] - lo
+            real, top = logits[of, units[rows]], logits.max(axis=1, keepdims=True)
+            logits -= top
+            norm = np.log(np.exp(logits, out=logits).sum(axis=1)) + top[:, 0]
+            out[rows] = real - norm[of]
         return out
 
 
@@ -177,12 +183,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def added(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """Sums of ``values`` by the output, unit or place and unit in ``rows``, of ``size``."""
+    """Sums of ``values``, taken again from the first where they end, by the output, unit or place and unit in ``rows``, of ``size``."""
     rows = rows.astype(np.uint16)
     n = np.bincount(rows, minlength=size)
     out = np.zeros((size, values.shape[1]), np.float32)
     own = np.flatnonzero(n)
-    out[own] = np.add.reduceat(values[np.argsort(rows, kind="stable")], (np.cumsum(n) - n)[own])
+    out[own] = np.add.reduceat(values.take(np.argsort(rows, kind="stable"), axis=0, mode="wrap"), (np.cumsum(n) - n)[own])
     return out
 
 
@@ -195,12 +201,13 @@ def descend(state: np.ndarray, contexts: np.ndarray, units: np.ndarray, noise: n
     places = np.arange(CONTEXT)[:, None] * outputs
     for lo in range(0, len(order), BATCH):
         at = order[lo : lo + BATCH]
-        target, before = units[at], contexts[at].T  # before: one row for each place
+        target, before = units.take(at), contexts.take(at, axis=0).T  # before: one row for each place
         drawn = np.minimum(np.searchsorted(steps, rng.random(NOISE) * steps[-1], "right"), outputs - 1)
         # The vectors as they count in each place: one table to gather from.
-        hidden = (parts["mixing"][:, None] * parts["vectors"]).reshape(-1, SIZE)[(before + places).ravel()].reshape(CONTEXT, -1, SIZE).sum(0)
-        out_real, out_false, bias = parts["outputs"][target], parts["outputs"][drawn], parts["bias"] - log_noise
-        real = np.einsum("ij,ij->i", hidden, out_real) + bias[target]
+        before = (before + places).ravel()
+        hidden = (parts["mixing"][:, None] * parts["vectors"]).reshape(-1, SIZE).take(before, axis=0).reshape(CONTEXT, -1, SIZE).sum(0)
+        out_real, out_false, bias = parts["outputs"].take(target, axis=0), parts["outputs"].take(drawn, axis=0), parts["bias"] - log_noise
+        real = np.einsum("ij,ij->i", hidden, out_real) + bias.take(target)
         false = hidden @ out_false.T
         false += bias[drawn]
         share = np.float32(1 / len(at))
@@ -211,7 +218,7 @@ def descend(state: np.ndarray, contexts: np.ndarray, units: np.ndarray, noise: n
         g_false *= share
         g_hidden = g_real[:, None] * out_real + g_false @ out_false
         # By place and unit: the sums serve the vectors and the mixing alike.
-        by_place = added((before + places).ravel(), np.broadcast_to(g_hidden, (CONTEXT, *g_hidden.shape)).reshape(-1, SIZE), CONTEXT * outputs).reshape(CONTEXT, outputs, SIZE)
+        by_place = added(before, g_hidden, CONTEXT * outputs).reshape(CONTEXT, outputs, SIZE)
         grads = {
             "vectors": np.einsum("jk,jik->ik", parts["mixing"], by_place),
             "mixing": np.einsum("ik,jik->jk", parts["vectors"], by_place),
