@@ -580,3 +580,23 @@ def test_viterbi():
             return chat.START[path[0]] + sum(chat.EMIT_MARKER[s, k] + chat.EMIT_LOOK[s, x] for s, k, x in zip(path, kinds, look)) + sum(chat.MOVE[a, b] for a, b in zip(path, path[1:]))
 
         assert score(chat.viterbi(kinds, look)) == pytest.approx(max(score(p) for p in itertools.product(range(6), repeat=4)))
+
+
+def test_driver_gives_free_native_memory_back(spark, tmp_path):
+    """Blocks freed below one that is still held stay with the C library until it is told to trim."""
+    jvm = spark._jvm
+    status = f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup"
+
+    def held():
+        return int(re.search(r"\nAnonymous:\s+(\d+)", open(status).read())[1]) / 1024
+
+    common.written(spark.range(10).toDF("doc_id"), "warm")
+    before = held()
+    blocks = [jvm.java.util.zip.Deflater() for _ in range(1500)]
+    filled = held()
+    for block in blocks[:-1]:
+        block.end()
+    common.written(spark.range(10).toDF("doc_id"), "after")
+    assert filled - before > 100
+    assert held() - before < (filled - before) / 2
+    blocks[-1].end()

@@ -9,6 +9,7 @@ group.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,9 +61,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    trim(spark)
     return out
 
 
+def trim(spark: SparkSession) -> None:
+    """Let the driver's JVM give free native memory back.
+
+    Its many threads and compilations leave free blocks in the C library's arenas, which
+    never shrink by themselves.  Where the JVM has no such command, nothing happens.
+    """
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    beans = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    with contextlib.suppress(Py4JJavaError):  # by the interface: the server's own class is not open to reflection
+        call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        asked = new(jvm.java.lang.Object, 4)
+        asked[0], asked[1] = name, "systemTrimNativeHeap"
+        call.invoke(beans, asked)
+
+
 def free(*tables: DataFrame) -> None:
     """Delete written tables that nothing lazy reads any more."""
     for table in tables:
