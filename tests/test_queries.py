@@ -90,3 +90,19 @@ def test_graph_search_in_blocks(spark):
     queries = Q.emb(spark, SF).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     whole, cut = (sorted(map(tuple, index.search(queries, 3, **b).collect())) for b in ({}, {"block": 2}))
     assert whole == cut and len(whole) == 3 * queries.count()
+
+
+def _against_sql(spark, folder, name: str, **tables: pd.DataFrame) -> tuple[list, list]:
+    """The rows of a query over tables of the test's own, and those of its SQL."""
+    c = duckdb.connect()
+    for t, own in tables.items():
+        own.to_parquet(f"{folder}/{t}.parquet", index=False)
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
+    return rows(Q.QUERIES[name](spark, str(folder)).toPandas()), rows(c.sql(Q.ORACLES[name]).df())
+
+
+def test_own_writes_beside_an_event_of_the_same_number(spark, tmp_path):
+    """Events of larger tables have the transaction's number, 1,000,000, as their own: begun by others, or the end of what is seen."""
+    events = pd.DataFrame({"event_id": [1, 2, 400, 3, 999_999, 1_000_000, 1_000_001], "user_id": [3, 5, 5, 7, 8, 7, 7], "value": [1.0, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0]})
+    found, expected = _against_sql(spark, tmp_path, "mvcc_read_own_writes", events=events)
+    assert found == expected == [(1_000_000, 3, 4.25), (3, 7, 3.0), (400, 5, 2.5)]

@@ -232,8 +232,9 @@ def mvcc_snapshot_read(spark, sf):
 @query(_VERSIONS + """, s AS (SELECT key, begin_ts, value FROM v WHERE begin_ts <= 500 AND (end_ts IS NULL OR end_ts > 500))
     SELECT key, begin_ts, value FROM s WHERE key <> 3 UNION ALL SELECT 3::BIGINT, 1000000::BIGINT, 4.25::DOUBLE""")
 def mvcc_read_own_writes(spark, sf):
-    own = spark.createDataFrame([(3, 1_000_000, None, 4.25)], "key long, begin_ts long, end_ts long, value double")
-    return vs.visible(_versions(spark, sf).unionByName(own), txn=1_000_000, snapshot=500).select("key", "begin_ts", "value")
+    own = spark.createDataFrame([(3, 1_000_000, None, 4.25, True)], "key long, begin_ts long, end_ts long, value double, own boolean")
+    versions = _versions(spark, sf).withColumn("own", F.lit(False)).unionByName(own)  # an event may have the number of the transaction
+    return vs.visible(versions, txn=1_000_000, snapshot=500, began=F.col("own"), ended=F.lit(False)).select("key", "begin_ts", "value")
 
 
 @query("""WITH w AS (SELECT event_id AS txn_id, user_id AS key, event_id AS start_ts, event_id + 40 AS commit_ts FROM events)

@@ -10,16 +10,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _happened(ts: str, txn: int, snapshot: int, active: list[int]) -> Column:
+def _happened(ts: str, own: Column, snapshot: int, active: list[int]) -> Column:
     c = F.col(ts)
-    return (c == txn) | ((c <= snapshot) & (~c.isin(active) if active else F.lit(True)))
+    return own | ((c <= snapshot) & (~c.isin(active) if active else F.lit(True)))
 
 
-def visible(versions: DataFrame, txn: int, snapshot: int, active: list[int] = ()) -> DataFrame:
-    """The latest visible version of each key."""
+def visible(versions: DataFrame, txn: int, snapshot: int, active: list[int] = (), began: Column | None = None, ended: Column | None = None) -> DataFrame:
+    """The latest visible version of each key.
+
+    ``began`` and ``ended`` tell whether the transaction itself began or ended a version, for
+    where its number may also be a timestamp of others; without them the number decides.
+    """
     active = list(active)
-    seen = versions.where(_happened("begin_ts", txn, snapshot, active) & ~F.coalesce(_happened("end_ts", txn, snapshot, active), F.lit(False)))
-    order = Window.partitionBy("key").orderBy(F.desc(F.col("begin_ts") == txn), F.desc("begin_ts"))
+    began, ended = F.col("begin_ts") == txn if began is None else began, F.col("end_ts") == txn if ended is None else ended
+    seen = versions.where(_happened("begin_ts", began, snapshot, active) & ~F.coalesce(_happened("end_ts", ended, snapshot, active), F.lit(False)))
+    order = Window.partitionBy("key").orderBy(F.desc(began), F.desc("begin_ts"))
     return seen.withColumn("at", F.row_number().over(order)).where(F.col("at") == 1).drop("at")
 
 
