@@ -106,3 +106,11 @@ def test_own_writes_beside_an_event_of_the_same_number(spark, tmp_path):
     events = pd.DataFrame({"event_id": [1, 2, 400, 3, 999_999, 1_000_000, 1_000_001], "user_id": [3, 5, 5, 7, 8, 7, 7], "value": [1.0, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0]})
     found, expected = _against_sql(spark, tmp_path, "mvcc_read_own_writes", events=events)
     assert found == expected == [(1_000_000, 3, 4.25), (3, 7, 3.0), (400, 5, 2.5)]
+
+
+@pytest.mark.parametrize("dims,seed", [(3, 240), (4, 144), (8, 1697)])
+def test_two_phases_divide_in_float(spark, tmp_path, dims, seed):
+    """Tables in which a quotient rounded once, as a double, brings another row among the 30 that are kept."""
+    vectors = np.random.default_rng(seed).normal(0, 0.3, (200, dims)).astype(np.float32)
+    found, expected = _against_sql(spark, tmp_path, "knn_two_phase", embeddings=pd.DataFrame({"vec_id": np.arange(200), "embedding": list(vectors)}))
+    assert found == expected and len(found) == 10

@@ -66,7 +66,9 @@ def levels(v: Column | str, scale: Column | float, n_levels: int) -> Column:
 
 def reconstruct(q: Column | str, scale: Column | float, n_levels: int) -> Column:
     scale = F.lit(float(scale)).cast("float") if isinstance(scale, (int, float)) else scale
-    return F.transform(col(q), lambda x: (x.cast("float") / F.lit(float(n_levels - 1)).cast("float") / scale).cast("float"))
+    top = F.lit(float(n_levels - 1)).cast("float")
+    # Spark divides floats as doubles; each quotient rounded to a float is the quotient of FLOAT arithmetic.
+    return F.transform(col(q), lambda x: ((x.cast("float") / top).cast("float") / scale).cast("float"))
 
 
 def squared_error(v: Column | str, q: Column | str, scale: Column | float, n_levels: int) -> Column:
