@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vecrel import queries as Q
 from vecrel.operators import hnsw
+from vecrel.operators import relational as rel
 
 from .conftest import SF
 
@@ -114,3 +115,24 @@ def test_two_phases_divide_in_float(spark, tmp_path, dims, seed):
     vectors = np.random.default_rng(seed).normal(0, 0.3, (200, dims)).astype(np.float32)
     found, expected = _against_sql(spark, tmp_path, "knn_two_phase", embeddings=pd.DataFrame({"vec_id": np.arange(200), "embedding": list(vectors)}))
     assert found == expected and len(found) == 10
+
+
+def test_join_on_shared_keys_is_dealt_over_tasks(spark, duck, monkeypatch):
+    """All pairs, once, in tasks of bounded pairs and broadcasts of bounded rows; null keys and keys of one side match nothing."""
+    expected = rows(duck.sql(Q.ORACLES["join_inner_nonpk"]).df())
+    left = spark.sql("SELECT id AS a, CASE WHEN id % 10 < 4 THEN NULL ELSE id % 3 END AS x FROM range(40)")
+    right = spark.sql("SELECT id AS b, CASE WHEN id % 7 = 0 THEN NULL ELSE id % 4 END AS y FROM range(300)")
+    whole = sorted((p.a, p.x, q.b, q.y) for p in left.collect() for q in right.collect() if p.x is not None and p.x == q.y)
+    for a, b, keys, order in ((left, right, "xy", "axby"), (right, left, "yx", "byax")):
+        made = rel.many_to_many_join(a, b, *keys, pairs=100, broadcast_rows=15)
+        assert made.columns == list(order)
+        assert sorted(map(tuple, made.select(*"axby").collect())) == whole
+    made = rel.many_to_many_join(left, right, *"xy", pairs=100)
+    per_task = [r.n for r in made.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(per_task) > 10 and max(per_task) < len(whole) / 5
+    # The query takes that way where pairs are many.
+    called = []
+    monkeypatch.setattr(rel, "many_to_many_join", lambda *a, f=rel.many_to_many_join: called.append(a) or f(*a, pairs=len(expected) // 20 + 1))
+    found = Q.join_inner_nonpk(spark, SF)
+    assert called and rows(found.toPandas()) == expected
+    assert found.rdd.getNumPartitions() >= 10
