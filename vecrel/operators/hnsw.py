@@ -11,13 +11,14 @@ from __future__ import annotations
 import heapq
 import json
 import math
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, replace
 from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, GroupedData, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import is_finite
@@ -58,11 +59,23 @@ class Graph:
         self.params, self.vectors = params, np.zeros((0, dims), np.float32)
         self.links: list[list[list[int]]] = []
         self.entry, self.state = -1, params.seed
+        # Of (node, level) with all its links taken: links as (distance, node) ascending, a bit for each, and the bits of those nearer to it than the node.
+        self.full: dict[tuple[int, int], tuple[list[tuple[float, int]], list[int], list[int]]] = {}
+
+    @property
+    def vectors(self) -> np.ndarray:
+        return self._vectors
+
+    @vectors.setter
+    def vectors(self, vectors: np.ndarray) -> None:
+        self._vectors, self.exact = vectors, vectors.astype(np.float64)
 
     def distances(self, query: np.ndarray, at: list[int]) -> np.ndarray:
-        rows = self.vectors[at].astype(np.float64)
+        rows = self.exact[at]
         if self.params.metric == "l2":
-            return np.sqrt(((rows - query) ** 2).sum(axis=1))
+            rows -= query
+            rows *= rows
+            return np.sqrt(np.add.reduce(rows, axis=1))
         dots = rows @ query
         if self.params.metric == "ip":
             return -dots
@@ -77,9 +90,13 @@ class Graph:
 
     def beam(self, query: np.ndarray, entries: list[int], ef: int, level: int) -> list[tuple[float, int]]:
         """The ef nearest nodes found on a level, ascending."""
+        return self.explore(query, entries, ef, level)[0]
+
+    def explore(self, query: np.ndarray, entries: list[int], ef: int, level: int) -> tuple[list[tuple[float, int]], dict[int, float]]:
+        """The ef nearest nodes found on a level, ascending, and the distances of all nodes seen: these and all their links."""
         start = list(dict.fromkeys(entries))
         near = list(zip(self.distances(query, start).tolist(), start, strict=True))
-        seen, frontier = set(start), list(near)
+        seen, frontier = {i: d for d, i in near}, list(near)
         heapq.heapify(frontier)
         kept = [(-d, -i) for d, i in near]
         heapq.heapify(kept)
@@ -92,14 +109,15 @@ class Graph:
             fresh = [x for x in self.links[node][level] if x not in seen] if level < len(self.links[node]) else []
             if not fresh:
                 continue
-            seen.update(fresh)
-            for e, x in zip(self.distances(query, fresh).tolist(), fresh, strict=True):
+            apart = self.distances(query, fresh).tolist()
+            seen.update(zip(fresh, apart, strict=True))
+            for e, x in zip(apart, fresh, strict=True):
                 if len(kept) < ef or e < -kept[0][0]:
                     heapq.heappush(frontier, (e, x))
                     heapq.heappush(kept, (-e, -x))
                     if len(kept) > ef:
                         heapq.heappop(kept)
-        return sorted((-d, -i) for d, i in kept)
+        return sorted((-d, -i) for d, i in kept), seen
 
     def select(self, found: list[tuple[float, int]], m: int) -> list[int]:
         """Diverse neighbours: a candidate nearer to a chosen one than to the query waits, and fills up the end."""
@@ -107,19 +125,63 @@ class Graph:
             return [i for _, i in found]
         chosen: list[int] = []
         waiting: list[int] = []
-        for d, i in found:
+        ids, apart = [i for _, i in found], np.array([d for d, _ in found])
+        waits = np.zeros(len(ids), bool)
+        for at, i in enumerate(ids):
             if len(chosen) == m:
                 break
-            if chosen and (self.distances(self.vectors[i].astype(np.float64), chosen) < d).any():
+            if waits[at]:
                 waiting.append(i)
             else:
                 chosen.append(i)
+                waits[at + 1 :] |= self.distances(self.exact[i], ids[at + 1 :]) < apart[at + 1 :]
         return (chosen + waiting)[:m]
 
+    def link(self, other: int, level: int, node: int, seen: dict[int, float], cap: int) -> None:
+        """A link back to a new node; beyond ``cap`` links one goes, as ``select`` would have it.
+
+        ``seen`` has the new node's distances to the other one and to its links. Which links are nearer
+        to one another than to their node is kept in bits, so a link costs no distances of its own.
+        """
+        own = self.links[other][level]
+        if len(own) < cap:
+            own.append(node)
+            return
+        if (other, level) not in self.full:
+            ranked = sorted(zip(self.distances(self.exact[other], own).tolist(), own, strict=True))
+            ids, apart = [i for _, i in ranked], np.array([d for d, _ in ranked])
+            nearer = np.stack([self.distances(self.exact[i], ids) < apart for i in ids], axis=1)  # of a row: by column
+            bits = [1 << x for x in range(cap)]
+            self.full[other, level] = ranked, bits, [sum(b for b, near in zip(bits, row, strict=True) if near) for row in nearer.tolist()]
+        ranked, bits, nearer = self.full[other, level]
+        new, d, mine = ((2 << cap) - 1) & ~sum(bits), seen[other], 0
+        for x, (e, i) in enumerate(ranked):
+            between = seen[i]
+            if between < e:
+                nearer[x] |= new
+            else:
+                nearer[x] &= ~new
+            if between < d:
+                mine |= bits[x]
+        place = bisect(ranked, (d, node))
+        ranked.insert(place, (d, node))
+        bits.insert(place, new)
+        nearer.insert(place, mine)
+        chosen, waiting, held = [], [], 0
+        for x, (bit, near) in enumerate(zip(bits, nearer, strict=True)):
+            if near & held:
+                waiting.append(x)
+            else:
+                chosen.append(x)
+                held |= bit
+        *order, gone = chosen + waiting
+        self.links[other][level] = [ranked[x][1] for x in order]
+        del ranked[gone], bits[gone], nearer[gone]
+
     def build(self, vectors: np.ndarray) -> Graph:
         self.vectors = vectors.astype(np.float32)
         for node in range(len(vectors)):
-            query, level = self.vectors[node].astype(np.float64), self.draw_level()
+            query, level = self.exact[node], self.draw_level()
             self.links.append([[] for _ in range(level + 1)])
             if self.entry < 0:
                 self.entry = node
@@ -128,18 +190,15 @@ class Graph:
             for at in range(top, level, -1):
                 entries = [self.beam(query, entries, 1, at)[0][1]]
             for at in range(min(level, top), -1, -1):
-                found = self.beam(query, entries, self.params.ef_construction, at)
+                found, seen = self.explore(query, entries, self.params.ef_construction, at)
                 cap = self.params.m * (1 if at else 2)
                 self.links[node][at] = self.select(found, cap)
                 for other in self.links[node][at]:
-                    own = self.links[other][at]
-                    own.append(node)
-                    if len(own) > cap:
-                        ranked = sorted(zip(self.distances(self.vectors[other].astype(np.float64), own).tolist(), own, strict=True))
-                        self.links[other][at] = self.select(ranked, cap)
+                    self.link(other, at, node, seen, cap)
                 entries = [i for _, i in found]
             if level > top:
                 self.entry = node
+        self.full.clear()
         return self
 
     def search(self, query: np.ndarray, k: int, ef: int) -> list[tuple[float, int]]:
@@ -151,11 +210,16 @@ class Graph:
         return self.beam(query, entries, max(ef, k), 0)[:k]
 
 
+def _by_shard(df: DataFrame, shards: int) -> GroupedData:
+    """Rows grouped by shard, each shard in a task of its own: by a hash, or in small partitions put together, some tasks would have several."""
+    return df.repartitionById(shards, F.col("shard")).groupBy("shard")
+
+
 class Index:
     """The graphs of all shards as a table, with their parameters."""
 
-    def __init__(self, nodes: DataFrame, params: Params, dims: int):
-        self.nodes, self.params, self.dims = nodes, params, dims
+    def __init__(self, nodes: DataFrame, params: Params, dims: int, shards: int):
+        self.nodes, self.params, self.dims, self.shards = nodes, params, dims, shards
 
     @classmethod
     def build(cls, df: DataFrame, params: Params = Params(), id_col: str = "vec_id", vector: str = "embedding") -> Index:
@@ -175,10 +239,10 @@ class Index:
             )
 
         dealt = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("vector")).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-        return cls(dealt.groupBy("shard").applyInPandas(grow, NODES), params, checked.hi or 0)
+        return cls(_by_shard(dealt, shards).applyInPandas(grow, NODES), params, checked.hi or 0, shards)
 
     def with_ef_search(self, ef: int) -> Index:
-        return Index(self.nodes, replace(self.params, ef_search=ef), self.dims)
+        return Index(self.nodes, replace(self.params, ef_search=ef), self.dims, self.shards)
 
     def search(self, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
         """(query_id, id, distance, rank) of a query set (query_id, query), sent to the shards in blocks."""
@@ -240,7 +304,8 @@ class Index:
             raise ValueError(f"unsupported version {about['version']}")
         if dims is not None and about["dims"] != dims:
             raise ValueError(f"dimension mismatch: expected {dims}, got {about['dims']}")
-        return cls(spark.read.schema(NODES).parquet(f"{path}/nodes"), Params(**about["params"]), about["dims"])
+        nodes = spark.read.schema(NODES).parquet(f"{path}/nodes")
+        return cls(nodes, Params(**about["params"]), about["dims"], (nodes.agg(F.max("shard")).first()[0] or 0) + 1)
 
 
 def in_memory(vectors: np.ndarray, params: Params = Params()) -> Graph:
