@@ -178,3 +178,4 @@ def test_each_shard_has_a_task(spark):
     index = hnsw.Index.build(Q.emb(spark, SF), hnsw.Params(m=4, ef_construction=8, shard_rows=20))
     held = index.nodes.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("shard").alias("n")).collect()
     assert index.shards > 10 and [r.n for r in held] == [1] * index.shards
+    assert "shufflepartitionidpassthrough" in Q.explain(index.search(Q._every_hundredth(spark, SF), 3)).lower()

@@ -269,7 +269,7 @@ class Index:
             rows = [(name, int(ids[i]), d) for part in shared for name, q in part.value for d, i in graph.search(q, k, params.ef_search)]
             return pd.DataFrame(rows, columns=["query_id", "id", "distance"]).astype({"query_id": "int64", "id": "int64", "distance": "float64"})
 
-        found = self.nodes.groupBy("shard").applyInPandas(look, "query_id long, id long, distance double")
+        found = _by_shard(self.nodes, self.shards).applyInPandas(look, "query_id long, id long, distance double")
         order = Window.partitionBy("query_id").orderBy("distance", "id")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
